@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nebulith.operators import copy_diff, near_pairs, references, schema_drift, skew
+from nebulith.operators import copy_diff, near_pairs, references, schema_drift, skew, unit_harmony
 from nebulith.runtime import read_table
 
 BOX = 100.0
 
 
+def _si_readings(spark: SparkSession, d: str):
+    si = {r["symbol"]: r["si_value"] for r in read_table(spark, d, "base_units").collect()}  # a fixed table of 12 rows
+    return unit_harmony.si_readings(read_table(spark, d, "field_readings"), read_table(spark, d, "ic_fields"), read_table(spark, d, "ic_files"), si)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Particles and quantities whose readings, all in SI, differ by more than 1 %."""
+    return unit_harmony.disagreeing(_si_readings(spark, d)[0])
+
+
+def p1_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every reading in SI, where its unit came from and what is left for review."""
+    return _si_readings(spark, d)[0]
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Ids missing on either side and columns that differ between particles and particles_replica."""
     return copy_diff.compare_copies(
@@ -86,5 +101,5 @@ def p7_consistent(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p3_found, p5_found, p5_report, p6_found, p6_cell_results, p6_slab_widths, p7_found, p7_lifespans, p7_consistent)
+    for f in (p1_found, p1_values, p2_found, p3_found, p5_found, p5_report, p6_found, p6_cell_results, p6_slab_widths, p7_found, p7_lifespans, p7_consistent)
 }
