@@ -78,7 +78,9 @@ def mismatched_leaves(
             a, b = (d.join(up, F.shiftright("node", fanout_bits) == up["parent"], "left_semi") for d in (a, b))
         both = a.alias("a").join(b.alias("b"), "node", "full_outer")
         same = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("n", "c1", "c2")])
-        suspects = both.where(~same).select("node")
+        suspects = scratch.write(both.where(~same).select("node"))
+        if suspects.isEmpty():  # nothing below differs either
+            break
     return suspects, scratch
 
 
