@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nebulith.llm import components, spam
-from nebulith.runtime import read_table
+from nebulith.llm import components, mixing, packing, spam, tokens
+from nebulith.runtime import Scratch, read_table
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -14,6 +14,41 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_groups(edges).withColumnRenamed("vertex", "particle_id")
 
 
+def _capacities(spark: SparkSession, d: str) -> dict[int, int]:
+    return {r["spec_id"]: r["capacity_tokens"] for r in read_table(spark, d, "pack_specs").collect()}  # a fixed table of 3 rows
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    return Scratch(spark, "tokens").write(tokens.token_counts(read_table(spark, d, "documents")))
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every text assigned to containers of each capacity."""
+    return packing.pack(_counts(spark, d), _capacities(spark, d))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and share of the space used, per capacity."""
+    capacities = _capacities(spark, d)
+    return packing.pack_report(packing.pack(_counts(spark, d), capacities), capacities)
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, tuple[float, int]]]:
+    targets = {r["source"]: (r["target_share"], r["max_repeats"]) for r in read_table(spark, d, "mix_targets").collect()}  # a fixed table of 9 rows
+    docs = read_table(spark, d, "documents").select("doc_id", "source").join(_counts(spark, d).select("doc_id", "n_tokens"), "doc_id")
+    return mixing.mix(docs, targets), targets
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of the mixture and how often each is in it."""
+    return _mixture(spark, d)[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of total tokens reached by each source, beside the targets."""
+    return mixing.mix_report(*_mixture(spark, d))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are keyword repeats, bare link lists or product and tag lists."""
     return spam.spam_pages(read_table(spark, d, "documents"))
@@ -24,7 +59,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.page_scores(read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p4_found, p8_pack, p8_report, p9_mix, p9_report, p10_found, p10_scores)}
 
 SQL = {
     "p4_found": """
