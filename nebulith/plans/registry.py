@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from nebulith.plans import dealt, dealt_sql
+from nebulith.plans import catalog, dealt, dealt_sql, reference_a  # noqa: F401  (the modules register their queries)
 
 
 def queries() -> dict:
-    return dict(dealt.QUERIES)
+    return catalog.QUERIES | dealt.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(dealt_sql.SQL)
+    return catalog.SQL | dealt_sql.SQL
