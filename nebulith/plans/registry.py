@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nebulith.plans import catalog, dealt, dealt_sql, reference_a  # noqa: F401  (the modules register their queries)
+from nebulith.plans import catalog, dealt, dealt_sql, reference_a, reference_b  # noqa: F401  (the modules register their queries)
 
 
 def queries() -> dict:
