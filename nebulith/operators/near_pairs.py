@@ -35,7 +35,7 @@ HOME, UNMOVED, OWN = 1, 2, 4
 _COLUMNS = ("_pid", "_grp", "_strip", "_y", "_x", "_z", "_id", "_mark")
 
 
-def _pairs_of(y, x, z, ids, mark, fresh, radius: float, box: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_of(y, x, z, ids, mark, fresh, radius: float, box: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Verified pairs of one sorted segment that have a fresh end and that this segment owns.
 
     The owner of a pair is the only segment in which each of the three marks is borne by one of the two copies.
@@ -79,10 +79,11 @@ def _pairs_of(y, x, z, ids, mark, fresh, radius: float, box: float) -> Iterator[
             e = np.abs(z[a] - z[b])
             e = np.minimum(e, box - e)
             g = y[a] - y[b]
-            near = d * d + e * e + g * g <= radius * radius
+            square = d * d + e * e + g * g
+            near = square <= radius * radius
             if near.any():
                 a, b = ids[a[near]], ids[b[near]]
-                yield np.minimum(a, b), np.maximum(a, b)
+                yield np.minimum(a, b), np.maximum(a, b), square[near]
 
 
 def _sweep(radius: float, box: float):
@@ -100,8 +101,8 @@ def _sweep(radius: float, box: float):
             cut = np.flatnonzero(changed) + 1
             for s, t in zip([0, *cut], [*cut, len(rows["_y"])]):
                 if t - s > 1:
-                    for a, b in _pairs_of(*(rows[c][s:t] for c in ("_y", "_x", "_z", "_id", "_mark", "fresh")), radius, box):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), rows["_grp"][s])), pa.array(a), pa.array(b)], names=["grp", "id_a", "id_b"])
+                    for a, b, square in _pairs_of(*(rows[c][s:t] for c in ("_y", "_x", "_z", "_id", "_mark", "fresh")), radius, box):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), rows["_grp"][s])), pa.array(a), pa.array(b), pa.array(square)], names=["grp", "id_a", "id_b", "d2"])
             last = cut[-1] if len(cut) else 0
             keep = np.flatnonzero(rows["_y"][last:] >= rows["_y"][-1] - radius * 1.0001) + last
             active = {c: v[keep] for c, v in rows.items()}
@@ -129,7 +130,7 @@ def _piece(bounds: np.ndarray):
 
 
 def near_pairs(points: DataFrame, ident: str, coords: tuple[str, str, str], group: str, radius: float, box: float, partitions: int | None = None, strips: int | None = None) -> DataFrame:
-    """(grp, id_a < id_b) of different points of one group with periodic distance <= ``radius``.
+    """(grp, id_a < id_b, squared distance d2) of different points of one group with periodic distance <= ``radius``.
 
     ``coords`` are (longitude, sweep axis, latitude), ``box`` their period. Defined cases: coordinates
     outside the box are wrapped; a point without three finite coordinates, an id or a group has no pair; copies of a point
@@ -169,4 +170,4 @@ def near_pairs(points: DataFrame, ident: str, coords: tuple[str, str, str], grou
         "_grp", "_id", "_x", "_z", "_strip", F.col("yy").alias("_y"), "h", "u", "_first", F.explode(F.sequence("_first", "_end")).alias("_pid")
     )
     marked = spread.select("_pid", "_grp", "_strip", "_y", "_x", "_z", "_id", (F.col("h") + F.col("u") + F.when(F.col("_pid") == F.col("_first"), OWN).otherwise(0)).alias("_mark"))
-    return marked.repartition(n, "_pid").sortWithinPartitions("_pid", "_grp", "_strip", "_y").mapInArrow(_sweep(radius, box), "grp long, id_a long, id_b long")
+    return marked.repartition(n, "_pid").sortWithinPartitions("_pid", "_grp", "_strip", "_y").mapInArrow(_sweep(radius, box), "grp long, id_a long, id_b long, d2 double")
