@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from nebulith.runtime import Scratch
 
-BLOCK_ITEMS = 20_000  # items packed in one task call, whatever the table's size
+BLOCK_ITEMS = 5_000  # items packed in one task call, whatever the table's size
 TOKENS_PER_SEGMENT = 16  # a container of c tokens takes at most c / 16 segments
 
 
@@ -25,32 +25,37 @@ def pack_block(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     kinds, which = np.unique(sizes, axis=0, return_inverse=True)
     which = which.reshape(-1)
     order = np.argsort(which, kind="stable")
-    starts = np.searchsorted(which[order], np.arange(len(kinds) + 1))
-    left = np.diff(starts)
-    weights = 1.0 / limits**2 * np.maximum(sizes.mean(axis=0) / limits, 1e-12)
-    scaled = kinds * weights
+    nxt, ends = np.searchsorted(which[order], np.arange(len(kinds))), np.searchsorted(which[order], np.arange(len(kinds)), "right")
+    scaled = kinds * (np.maximum(sizes.mean(axis=0) / limits, 1e-12) / limits**2)
     out = np.empty(len(sizes), np.int64)
-    alive = np.arange(len(kinds))
+    alive = np.arange(len(kinds))  # kinds with items left, by tokens
     box = -1
-    remaining = int(left.sum())
-    room = np.zeros(len(limits))
-    while remaining:
-        live = kinds[alive]
-        fits = (live <= room).all(axis=1) & (left[alive] > 0)
-        if not fits.any():
-            box += 1
-            room = limits.astype(float).copy()
-            alive = alive[left[alive] > 0]
-            continue
-        score = np.where(fits, scaled[alive] @ room, -1.0)
-        k = alive[int(score.argmax())]
-        n = int(min(left[k], np.min(np.where(kinds[k] > 0, room // np.maximum(kinds[k], 1), np.inf))))
-        n = 1 if n < 1 else (n if kinds[k][0] * 2 > room[0] else 1)
-        at = starts[k + 1] - left[k]
-        out[order[at:at + n]] = box
-        left[k] -= n
-        room -= n * kinds[k]
-        remaining -= n
+    while len(alive):
+        box += 1
+        room = limits.astype(float)
+        live, tokens, weight = kinds[alive], kinds[alive, 0], scaled[alive]
+        gone = []
+        top = len(alive)
+        while room[1] >= 1 and room[0] > 0:
+            top = int(np.searchsorted(tokens[:top], room[0], "right"))
+            if not top:
+                break
+            score = weight[:top] @ room
+            if room[2] < room[0]:  # only then can the loss-bearing tokens be what doesn't fit
+                score[live[:top, 2] > room[2]] = -1.0
+            if gone:
+                score[[g for g in gone if g < top]] = -1.0
+            j = int(score.argmax())
+            if score[j] < 0:
+                break
+            k = alive[j]
+            out[order[nxt[k]]] = box
+            nxt[k] += 1
+            room -= live[j]
+            if nxt[k] == ends[k]:
+                gone.append(j)
+        if gone:
+            alive = np.delete(alive, gone)
     return out
 
 
