@@ -68,7 +68,7 @@ def mismatched_leaves(
     levels = [tuple(scratch.write(_leaf_checksums(d, key, columns, leaf_bits)) for d in (left, right))]
     span = levels[0][0].select("node").union(levels[0][1].select("node")).agg(F.min("node"), F.max("node")).first()
     lo, hi = (span[0] or 0), (span[1] or 0)
-    while lo != hi:  # one step for each 6 bits of the key range
+    while hi - lo > 1:  # one step for each 6 bits of the key range; keys on both sides of 0 end as nodes -1 and 0
         levels.append(tuple(scratch.write(_parents(d, fanout_bits)) for d in levels[-1]))
         lo, hi = lo >> fanout_bits, hi >> fanout_bits
     suspects: DataFrame | None = None
@@ -105,26 +105,26 @@ def compare_copies(
     """
     columns = compared_columns(left, right, key, ignore)
     theirs = {c.lower(): c for c in right.columns}
+    inner = [f"_c{i}" for i in range(len(columns))]  # so that no input column can clash with one made here
     sides = [
-        df.select(F.col(key), *[F.col(n).alias(c) for c, n in zip(columns, names)])
+        df.select(F.col(f"`{key}`").alias("_key"), *[F.col(f"`{n}`").alias(c) for c, n in zip(inner, names)])
         for df, names in ((left, columns), (right, [theirs[c.lower()] for c in columns]))
     ]
-    suspects, _ = mismatched_leaves(sides[0], sides[1], key, columns, leaf_bits)
+    suspects, _ = mismatched_leaves(sides[0], sides[1], "_key", inner, leaf_bits)
     tagged = reduce(DataFrame.unionByName, [d.withColumn("_side", F.lit(i)) for i, d in enumerate(sides)])
-    tagged = tagged.where(F.col(key).isNotNull()).withColumn("_leaf", F.shiftright(key, leaf_bits))
+    tagged = tagged.where(F.col("_key").isNotNull()).withColumn("_leaf", F.shiftright("_key", leaf_bits))
     kept = tagged.join(suspects.select(F.col("node").alias("_leaf")), "_leaf", "left_semi")
-    numeric = {f.name: isinstance(f.dataType, T.NumericType) for f in sides[0].schema.fields}
+    numeric = [isinstance(f.dataType, T.NumericType) for f in sides[0].schema.fields[1:]]
     at = lambda side, c: F.max(F.when(F.col("_side") == side, c))
-    merged = kept.groupBy("_leaf", key).agg(
-        at(0, F.lit(True)).alias("_in0"), at(1, F.lit(True)).alias("_in1"),
-        *[at(s, F.col(c)).alias(f"_{s}_{i}") for i, c in enumerate(columns) for s in (0, 1)],
+    merged = kept.groupBy("_leaf", "_key").agg(
+        at(0, F.lit(True)).alias("_in0"), at(1, F.lit(True)).alias("_in1"), *[at(s, F.col(c)).alias(f"_{s}{c}") for c in inner for s in (0, 1)],
     )
     differing = F.array_compact(F.array(*[
-        F.when(~values_equal(F.col(f"_0_{i}"), F.col(f"_1_{i}"), numeric[c], rel_tol), F.lit(c)) for i, c in enumerate(columns)
+        F.when(~values_equal(F.col(f"_0{c}"), F.col(f"_1{c}"), is_number, rel_tol), F.lit(name)) for c, name, is_number in zip(inner, columns, numeric)
     ])) if columns else F.array().cast("array<string>")
     found = (
         F.when(F.col("_in0").isNull(), F.array(F.lit(f"missing_in_{left_name}")))
         .when(F.col("_in1").isNull(), F.array(F.lit(f"missing_in_{right_name}")))
         .otherwise(differing)
     )
-    return merged.select(F.col(key), F.explode(found).alias("diff"))
+    return merged.select(F.col("_key").alias(key), F.explode(found).alias("diff"))

@@ -21,7 +21,7 @@ def canonical_path(c: Column) -> Column:
 def canonical_type(scalar_type: Column, byte_width: Column, is_signed: Column) -> Column:
     """``float|signed|unsigned`` and the width in bytes, whatever the spelling or byte order.
 
-    A number after < > = | is in bytes, else in bits (8 or less: bytes). Without a number the
+    A number after < > = | is in bytes, else in bits (f4 and f8: bytes; u8 and i8 are 8 bits, as u16 is 16). Without a number the
     C names hold (float 4, double 8, int 4, long 8, short 2, char 1) and then byte_width.
     Unknown text keeps its own name as kind.
     """
@@ -149,7 +149,7 @@ def consistent_rows(files: DataFrame, fields: DataFrame, rows: DataFrame) -> Dat
     number = F.col("text").try_cast("double")
     whole = F.col("text").try_cast("decimal(38,6)")
     value = F.when(F.col("type").startswith("float"), number).otherwise(whole.cast("double"))
-    exact = F.when(~F.col("type").startswith("float"), F.format_string("%s", whole.cast("decimal(32,0)")))
+    exact = F.when(~F.col("type").startswith("float"), whole.cast("decimal(32,0)").cast("string"))
     return values.join(names, ["source_file_index", "path"], "left").select(
         "row_id", "source_file_index", "particle_id", F.coalesce("field", "path").alias("field"), "type",
         F.when(F.col("text").isNotNull(), F.coalesce(F.when(F.col("type").isNull(), number), value)).alias("value"),

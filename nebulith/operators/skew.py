@@ -75,11 +75,12 @@ def hot_keys(df: DataFrame, key: str, order: list[str], share: float, partitions
 
     At most 1/share keys can, so the result is small whatever the table's size.
     """
-    per_key = balanced_groups(df, [key], order, [F.count("*").alias("n")], partitions)
+    keyed = df.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    per_key = balanced_groups(keyed, ["_key"], [f"_o{i}" for i in range(len(order))], [F.count("*").alias("n")], partitions)
     total = per_key.agg(F.sum("n").alias("total"))
     return (
         per_key.join(F.broadcast(total), on=F.col("n") >= F.ceil(F.col("total") * F.lit(share)), how="inner")  # total: one row
-        .where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("hot_key"), "n", "total")
+        .where(F.col("_key").isNotNull()).select(F.col("_key").cast("long").alias("hot_key"), "n", "total")
     )
 
 
@@ -102,7 +103,7 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: str, p
     if not heavy:
         return left.join(right.hint("merge"), key, "left")
     salt = F.when(F.col(key).isin(heavy), F.pmod(F.xxhash64(spread), F.lit(pieces))).otherwise(F.lit(0).cast("long"))
-    salts = F.when(F.col(key).isin(heavy), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
+    salts = F.when(F.col(key).isin(heavy), F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     a = left.withColumn("_salt", salt)
-    b = right.withColumn("_salt", F.explode(salts).cast("long"))
+    b = right.withColumn("_salt", F.explode(salts))
     return a.join(b.hint("merge"), [key, "_salt"], "left").drop("_salt")
