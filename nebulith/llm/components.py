@@ -33,7 +33,7 @@ def _neighbour_minima(scratch: Scratch, edges: DataFrame) -> DataFrame:
     if heavy:
         hot = F.col("u").isin(heavy)
         directed = directed.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("v"), F.lit(pieces))).otherwise(F.lit(0).cast("long")))
-        salted = least.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))).cast("long"))
+        salted = least.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
         joined = directed.join(salted, ["u", "salt"])
     else:
         joined = directed.join(least, "u")

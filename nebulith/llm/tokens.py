@@ -35,7 +35,7 @@ def prompt_end(text: str) -> int:
 def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens, n_loss): tokens of the whole text, and those after its prompt part (loss-bearing).
 
-    Null and empty texts have 0. Texts of special-token strings count as ordinary text. Whole texts are encoded.
+    Null and empty texts have 0; a row without a doc_id names no text and is left out. Texts of special-token strings count as ordinary text. Whole texts are encoded.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,4 +52,4 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
                 out.append((doc, head + tail, tail))
             yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "n_loss"])
 
-    return docs.select("doc_id", "text").mapInPandas(count, "doc_id long, n_tokens long, n_loss long")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(count, "doc_id long, n_tokens long, n_loss long")
