@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,7 +24,7 @@ def duck():
 
 
 def plain(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return "null"
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))
@@ -31,7 +32,7 @@ def plain(v):
         x = float(v)
     except (TypeError, ValueError):
         return str(v)
-    return "null" if math.isnan(x) else f"{x + 0.0:.8g}"
+    return "null" if math.isnan(x) else f"{x + 0.0:.9g}"
 
 
 def table(df):
