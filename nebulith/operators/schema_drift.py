@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nebulith.operators.skew import stitched
+from nebulith.runtime import Scratch
 
 
 def canonical_path(c: Column) -> Column:
@@ -60,13 +61,14 @@ def file_positions(files: DataFrame) -> DataFrame:
     return ranked.withColumnRenamed("_rn", "ord").join(last, "run_name")
 
 
-def field_catalogue(files: DataFrame, fields: DataFrame) -> DataFrame:
+def field_catalogue(files: DataFrame, fields: DataFrame, positions: DataFrame | None = None) -> DataFrame:
     """One row for each field of each file: run, ord, lane, path, type. Resent rows count once."""
+    positions = file_positions(files) if positions is None else positions
     canon = fields.where(F.col("dataset_path").isNotNull()).select(
         "source_file_index", F.col("field_lane").alias("lane"), canonical_path(F.col("dataset_path")).alias("path"),
         canonical_type(F.col("scalar_type"), F.col("byte_width"), F.col("is_signed")).alias("type"),
     ).groupBy("source_file_index", "lane", "path").agg(F.min("type").alias("type"))
-    return canon.join(file_positions(files).drop("prev_file", "written_at"), "source_file_index")
+    return canon.join(positions.drop("prev_file", "written_at"), "source_file_index")
 
 
 def lifespans(catalogue: DataFrame) -> DataFrame:
@@ -89,7 +91,8 @@ def schema_changes(files: DataFrame, fields: DataFrame) -> DataFrame:
     ``removed`` (named at the later file), a lane with another path ``renamed``, another type ``retyped``.
     The first file of a run changes nothing. A file without any field removes all fields of the one before.
     """
-    cat = field_catalogue(files, fields)
+    positions = Scratch(files.sparkSession, "drift").write(file_positions(files))
+    cat = field_catalogue(files, fields, positions)
     here = F.struct("ord", "lane", "path", "type")
     lane = Window.partitionBy("run_name", "lane", F.when(F.col("lane").isNull(), F.col("path"))).orderBy("ord", "path")
     path = Window.partitionBy("run_name", "path").orderBy("ord", F.col("lane").isNull(), "lane")
@@ -110,7 +113,7 @@ def schema_changes(files: DataFrame, fields: DataFrame) -> DataFrame:
         F.when(~F.col("before.type").eqNullSafe(F.col("type")) & F.col("before").isNotNull(), "retyped"),
     ))
     starts = state.select("source_file_index", F.col("path").alias("dataset_path"), F.explode(kinds).alias("change_kind"))
-    successor = file_positions(files).where(F.col("prev_file").isNotNull()).select(F.col("source_file_index").alias("next_file"), "prev_file")
+    successor = positions.where(F.col("prev_file").isNotNull()).select(F.col("source_file_index").alias("next_file"), "prev_file")
     ends = state.where("ends").join(successor, F.col("source_file_index") == F.col("prev_file")).select(
         F.col("next_file").alias("source_file_index"), F.col("path").alias("dataset_path"), F.lit("removed").alias("change_kind")
     )
