@@ -25,7 +25,7 @@ CHUNK = 200_000  # candidate pairs verified at once
 
 
 def wrap(c, box: float):
-    """A coordinate moved into [0, box)."""
+    """A finite coordinate moved into [0, box)."""
     w = c - F.floor(c / F.lit(box)) * F.lit(box)
     return F.when(w >= box, w - box).otherwise(w)
 

@@ -32,7 +32,7 @@ def species_tables(particles: DataFrame) -> dict[str, DataFrame]:
 def periodic_wrap(c: Column, box: float) -> Column:
     """Into [0, box); what rounds up to the box becomes 0."""
     w = c - F.lit(box) * F.floor(c / box)
-    return F.when(w >= box, 0.0).otherwise(w)
+    return F.when((w >= box) & ~F.isnan(w), 0.0).otherwise(w)  # NaN counts as the largest number, and stays NaN
 
 
 def minimum_image(d: Column, box: float) -> Column:

@@ -271,3 +271,26 @@ def test_transition_stream_against_a_fold(spark):
             want.append((e, t, now, w))
             state[e] = w
     assert got == sorted(want)
+
+
+def test_wrap_leaves_what_is_no_number(spark):
+    from nebulith.operators.state import periodic_wrap
+
+    df = spark.createDataFrame([(1, 250.0), (2, -1e-18), (3, float("nan")), (4, None), (5, 100.0)], "i int, x double")
+    got = {r["i"]: r["w"] for r in df.select("i", periodic_wrap(F.col("x"), 100.0).alias("w")).collect()}
+    assert got[1] == 50.0 and got[2] == 0.0 and math.isnan(got[3]) and got[4] is None and got[5] == 0.0
+
+
+def test_stages_keep_their_contracts(spark):
+    from nebulith.operators.steps import Stage, ordered, run_step
+
+    df = spark.range(1)
+    order = ordered([Stage("drift", dict, (), name="b", requires=("a",)), Stage("drift", dict, (), name="a"), Stage("kick_pre", dict, ())])
+    assert [s.name or s.slot for s in order] == ["kick_pre", "a", "b"]
+    for bad in ([Stage("nowhere", dict, ())], [Stage("drift", dict, (), requires=("x",))]):
+        with pytest.raises(ValueError):
+            ordered(bad)
+    with pytest.raises(ValueError):
+        run_step({"a": df}, [Stage("drift", lambda t: {"b": df}, ("a",), ("a",))])
+    with pytest.raises(ValueError):
+        run_step({}, [Stage("drift", dict, ("a",))])
