@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nebulith.runtime import ship
+
 ID_TAG = 1 << 63  # fixed: marks generated particle ids
 
 
@@ -29,11 +31,13 @@ def _uniform(values: pd.Series) -> pd.Series:
 
 def mixed(c: Column) -> Column:
     """The mixed counter as a signed long; its bits are those of the unsigned result."""
+    ship()
     return F.pandas_udf(_mix, "long")(c.cast("long"))
 
 
 def uniform(c: Column) -> Column:
     """A number in [0, 1) from a counter: the upper 53 bits of the mixed value."""
+    ship()
     return F.pandas_udf(_uniform, "double")(c.cast("long"))
 
 

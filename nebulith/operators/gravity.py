@@ -16,7 +16,7 @@ from nebulith.operators.diagnostics import mass_on_grid
 from nebulith.operators.near_pairs import near_pairs
 from nebulith.operators.spectrum import MAX_MESH
 from nebulith.operators.state import minimum_image
-from nebulith.runtime import Scratch
+from nebulith.runtime import Scratch, ship
 
 LEAF_SIZE = 16
 TREE_DEPTH = 21
@@ -114,6 +114,7 @@ def poisson_periodic(density: DataFrame, n: int, box: float, g: float, split: fl
     """(ix, iy, iz, phi, fx, fy, fz) of the periodic Poisson equation: one transform of a mesh of bounded size in one task."""
     if n > MAX_MESH:
         raise ValueError(f"the mesh is limited to {MAX_MESH} cells per axis")
+    ship(density.sparkSession)
 
     def solve(cells: pd.DataFrame) -> pd.DataFrame:
         rho = np.zeros((n, n, n))
@@ -142,6 +143,7 @@ def poisson_isolated(density: DataFrame, n: int, box: float, g: float) -> DataFr
     """The isolated potential on a mesh padded to twice its size, kernel −1/r (0 at r = 0), forces by differences, one-sided at the edges."""
     if n > MAX_MESH // 2:
         raise ValueError(f"the padded mesh is limited to {MAX_MESH} cells per axis")
+    ship(density.sparkSession)
 
     def solve(cells: pd.DataFrame) -> pd.DataFrame:
         h = box / n

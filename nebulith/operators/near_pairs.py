@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nebulith.runtime import parallelism
+from nebulith.runtime import parallelism, ship
 
 SAMPLE_PER_CUT = 60  # sampled keys per range partition; the sample is bounded by this times the partitions
 CUTS_PER_PARTITION = 3  # range pieces per partition: evens out what hashing the pieces leaves uneven
@@ -139,6 +139,7 @@ def near_pairs(points: DataFrame, ident: str, coords: tuple[str, str, str], grou
     if not 0 < radius < box / 4:
         raise ValueError("radius must be positive and under a quarter of the box")
     spark = points.sparkSession
+    ship(spark)
     n = partitions or parallelism(spark)
     cuts = strips or int(min(2048, box / (10 * radius)))
     cuts = cuts if cuts >= 3 else 1

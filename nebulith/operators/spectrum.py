@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from nebulith.operators.base import dense_bins, finite
 from nebulith.operators.diagnostics import mass_on_grid
+from nebulith.runtime import ship
 
 MAX_MESH = 128  # a mesh of 128³ complex values is 34 MB; larger ones would not fit one task's memory
 FLOOR = 1e-24
@@ -20,6 +21,7 @@ def density_modes(grid: DataFrame, n: int) -> DataFrame:
     """(nx, ny, nz, re, im) of sum(δ exp(-2πi …)) / n³ from (ix, iy, iz, mass): numpy in one task, the mesh's size being bounded."""
     if n > MAX_MESH:
         raise ValueError(f"the mesh is limited to {MAX_MESH} cells per axis")
+    ship(grid.sparkSession)
 
     def transform(cells: pd.DataFrame) -> pd.DataFrame:
         mesh = np.zeros((n, n, n))

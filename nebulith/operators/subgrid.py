@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from nebulith.functions import physics as P
 from nebulith.functions import random as R
 from nebulith.operators.base import finite
-from nebulith.runtime import Scratch
+from nebulith.runtime import Scratch, ship
 
 
 # --- star formation -----------------------------------------------------------------------------------------
@@ -108,6 +108,7 @@ def cool(cells: DataFrame, dt: float, fraction: float = 0.1, most: int = 64, flo
 
     The number of subcycles depends on the data, so batches are stepped together in numpy. Rows that aren't finite keep their energy.
     """
+    ship(cells.sparkSession)
     table = np.array(metal_rows) if metal_rows else None
 
     def step(batches):
@@ -159,6 +160,7 @@ def accrete(holes: DataFrame, cells: DataFrame, cfg: Accretion, dt: float) -> Da
     Black holes that share a cell act one after the other in order of id, each seeing what the one before left, so a
     cell's holes are one ordered group. The gas columns are the cell's state after that hole.
     """
+    ship(holes.sparkSession)
     joined = holes.join(cells, "host")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -7,14 +7,37 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, tuple[SparkSession, str]] = {}
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Sends this package to the Python workers, once per application: executors need no installation and no common path."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(spark.sparkContext.applicationId)
+    home = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="nebulith-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "nebulith_code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for at, _, files in os.walk(home):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), os.path.dirname(home)))
+    spark.sparkContext.addPyFile(target)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table (a file or a folder of part files) of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,6 +77,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.base = f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex[:8]}"
         self._n = 0

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from nebulith.runtime import Scratch
+from nebulith.runtime import Scratch, ship
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -79,6 +79,7 @@ def transition_stream(requests: DataFrame) -> DataFrame:
         state.update((current, pending))
         yield pd.DataFrame(out, columns=["element", "tick", "old_bin", "new_bin"])
 
+    ship(requests.sparkSession)
     return requests.groupBy("element").applyInPandasWithState(
         step, "element long, tick long, old_bin int, new_bin int", "bin int, pending int", "append", GroupStateTimeout.NoTimeout
     )
