@@ -9,7 +9,8 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from nebulith.runtime import ship
 
 TOKENIZER = os.environ.get("NEBULITH_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: How the byte-level vocabularies split a text before their merges (fixed value).
@@ -38,6 +39,8 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     Null and empty texts have 0; a row without a doc_id names no text and is left out. Texts of special-token strings count as ordinary text. Whole texts are encoded.
     """
 
+    ship(docs.sparkSession)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = load(path)
         for batch in batches:
