@@ -1,8 +1,9 @@
 """Keyword-stuffed pages, bare link lists and product or tag lists among documents.
 
 Texts are compressed block by block. A block's ratio is divided by the mean ratio of blocks of its
-length and language over the whole corpus; extreme redundancy flags a page, low density of sentence ends
-confirms it, and an exact count of the words in lists decides. Two passes over the texts, no shuffle of them.
+length and language over the whole corpus; a redundant block or a low density of sentence ends flags a page. The exact
+count of the words in lists is made of every page and decides; in pages that aren't flagged, finished sentences count as
+prose. Two passes over the texts, no shuffle of them.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ from pyspark.sql import functions as F
 from nebulith.llm.spam_text import block_ratios, fold, list_words, sentence_density
 from nebulith.runtime import ship
 
-EXTREME, EXTREME_SHARE = 0.95, 0.3  # blocks of at most this normalized ratio in this share of the bytes flag a page whatever its punctuation
-REDUNDANT, REDUNDANT_SHARE = 1.05, 0.4  # ... and these flag it if it has also few sentence ends
-SPARSE = 0.05  # sentence ends per word that confirm redundancy
+EXTREME = 0.95  # normalized ratio of a block that flags a page whatever its punctuation
+SPARSE = 0.05  # ... and so do sentence ends per word up to this
 SHARE = 0.5  # more than this share of the words in lists makes a case
 LANGUAGES = 24  # languages with expected ratios of their own; the others share one
 
@@ -60,8 +60,8 @@ def expected_ratios(docs: DataFrame) -> dict[tuple[str, int], float]:
 def page_scores(docs: DataFrame, table: dict[tuple[str, int], float] | None = None) -> DataFrame:
     """(doc_id, redundancy, density, flagged, list_share) of every document.
 
-    redundancy is the least normalized block ratio, list_share null where the page isn't flagged. Null and empty texts have no
-    blocks: redundancy null, not flagged. Whole texts are measured, however long. Rows without a doc_id are left out.
+    redundancy is the least normalized block ratio. Null and empty texts have no blocks: redundancy and list_share null, not
+    flagged. Whole texts are measured, however long. Rows without a doc_id are left out.
     """
     table = expected_ratios(docs) if table is None else table
 
@@ -74,15 +74,11 @@ def page_scores(docs: DataFrame, table: dict[tuple[str, int], float] | None = No
                 if not isinstance(text, str) or not text.strip():
                     out.append((doc, None, 0.0, False, None))
                     continue
-                blocks = [(n, r / (table.get((lang, _size_class(n))) or table.get(("*", _size_class(n))) or 1.0)) for n, r in block_ratios(text)]
-                total, least = sum(n for n, _ in blocks), min(r for _, r in blocks)
+                least = min(r / (table.get((lang, _size_class(n))) or table.get(("*", _size_class(n))) or 1.0) for n, r in block_ratios(text))
                 density = sentence_density(fold(text))
-                within = lambda ratio: sum(n for n, r in blocks if r <= ratio) / total  # noqa: B023, E731
-                flagged = within(EXTREME) >= EXTREME_SHARE or density <= SPARSE and within(REDUNDANT) >= REDUNDANT_SHARE
-                share = None
-                if flagged:
-                    listed, words = list_words(text)
-                    share = listed / words if words else 0.0
+                flagged = least <= EXTREME or density <= SPARSE
+                listed, words = list_words(text, flagged)
+                share = listed / words if words else 0.0
                 out.append((doc, least, density, flagged, share))
             yield pd.DataFrame(out, columns=["doc_id", "redundancy", "density", "flagged", "list_share"])
 
@@ -93,4 +89,4 @@ def page_scores(docs: DataFrame, table: dict[tuple[str, int], float] | None = No
 
 def spam_pages(docs: DataFrame) -> DataFrame:
     """Ids of the pages of which more than half of the words stand in keyword, link, product or tag lists."""
-    return page_scores(docs).where(F.col("flagged") & (F.col("list_share") > SHARE)).select("doc_id").distinct()
+    return page_scores(docs).where(F.col("list_share") > SHARE).select("doc_id").distinct()

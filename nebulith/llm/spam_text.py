@@ -85,8 +85,8 @@ def _segments(text: str):
         yield "\n".join(run), False
 
 
-def list_words(text: str) -> tuple[int, int]:
-    """(words in keyword, link, product or tag lists, all words)."""
+def list_words(text: str, sentences: bool = True) -> tuple[int, int]:
+    """(words in keyword, link, product or tag lists, all words). sentences: whether finished sentences can be keyword lists too."""
     text = fold(text)
     parts = [(s, ended, s.split()) for s, ended in _segments(text)]
     total = sum(len(w) for _, _, w in parts)
@@ -127,7 +127,7 @@ def list_words(text: str) -> tuple[int, int]:
         unique = len(set(ws)) / len(ws)
         repeated = sum(1 for w in ws if w in keyword) / len(ws)
         if ended:
-            if len(ws) >= 2 and (unique < 0.72 and repeated > 0.4 or repeated >= 0.45):
+            if sentences and len(ws) >= 2 and (unique < 0.72 and repeated > 0.4 or repeated >= 0.45):
                 listed += len(words)
         elif len(ws) >= 10 and unique < 0.62 or repeated >= 0.7 and len(ws) >= 2:
             listed += len(words)

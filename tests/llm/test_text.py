@@ -53,6 +53,17 @@ def test_spam_pages_with_edges(spark):
     assert rows(spam.spam_pages(df.limit(0))) == []
 
 
+def test_every_page_is_counted_whatever_its_redundancy(spark):
+    rng = random.Random(4)
+    docs = [(1, PROSE, "en"), (2, "\n".join(f"#{w} | #{v}" for w, v in zip(fake_words(rng, 6, 400), fake_words(rng, 6, 400))), "en")]
+    docs += [(3, "\n".join(f"{w} lamp SKU-{i * 7919} {i}.95" for i, w in enumerate(fake_words(rng, 6, 400), 1)), "en"), (4, "", "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    scores = spam.page_scores(df, {("*", k): 0.3 for k in range(25)})  # a corpus more redundant than any of these pages
+    got = {r["doc_id"]: r for r in scores.collect()}
+    assert all(got[i]["redundancy"] > 1.05 for i in (1, 2, 3)) and got[4]["list_share"] is None
+    assert got[1]["list_share"] == 0 and got[2]["list_share"] > spam.SHARE and got[3]["list_share"] > spam.SHARE
+
+
 def test_token_counts(spark):
     enc = tokens.load(tokens.TOKENIZER)
     texts = [(1, "Prompt here.\n\nAnswer <|endoftext|> there."), (2, ""), (3, None), (4, "x" * 200_000), (5, "no prompt"), (None, "z")]
