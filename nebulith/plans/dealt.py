@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nebulith.operators import copy_diff, near_pairs, references, schema_drift, skew, unit_harmony
+from nebulith.operators.base import current, finite
 from nebulith.runtime import read_table
 
 BOX = 100.0
@@ -77,6 +78,17 @@ def p6_cell_results(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p6_cell_masses(spark: SparkSession, d: str) -> DataFrame:
+    """Members and mass of each cell: distinct members joined with their particle, resent rows and masses that are no number left out of the mass."""
+    members = read_table(spark, d, "cell_members").select("cell_key", "snap_step", "local_index", "particle_id").distinct()
+    masses = current(read_table(spark, d, "particles").select("particle_id", "mass", "ingested_at"), "particle_id").select("particle_id", F.when(finite("mass"), F.col("mass")).alias("mass"))
+    cells = skew.balanced_groups(
+        members.join(masses, "particle_id", "left"), ["cell_key"], ["snap_step", "local_index"],
+        [F.count("*").alias("n_members"), F.count("mass").alias("n_masses"), F.sum("mass").alias("mass")],
+    )
+    return cells.withColumn("mass", F.round("mass", 6))
+
+
 def p6_slab_widths(spark: SparkSession, d: str) -> DataFrame:
     """Running slab width of each owner rank in order of epoch and begin, over distinct slabs."""
     slabs = read_table(spark, d, "pm_ownership").select("owner_rank", "decomposition_epoch", "begin_x", "end_x").distinct()
@@ -101,5 +113,5 @@ def p7_consistent(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_values, p2_found, p3_found, p5_found, p5_report, p6_found, p6_cell_results, p6_slab_widths, p7_found, p7_lifespans, p7_consistent)
+    for f in (p1_found, p1_values, p2_found, p3_found, p5_found, p5_report, p6_found, p6_cell_results, p6_cell_masses, p6_slab_widths, p7_found, p7_lifespans, p7_consistent)
 }

@@ -54,6 +54,9 @@ SELECT ref_table, ref_field, snap_step, count(*) AS n_refs, count(*) FILTER (sta
 SELECT 'cell_members' AS table_name, cell_key AS hot_key FROM cell_members WHERE cell_key IS NOT NULL GROUP BY cell_key HAVING count(*) >= 0.02 * (SELECT count(*) FROM cell_members)
 UNION ALL SELECT 'pm_ownership', CAST(owner_rank AS BIGINT) FROM pm_ownership WHERE owner_rank IS NOT NULL GROUP BY owner_rank HAVING count(*) >= 0.02 * (SELECT count(*) FROM pm_ownership)""",
     "p6_cell_results": "SELECT cell_key, count(*) AS n_rows, min(local_index) AS first_index, max(local_index) AS last_index, CAST(sum(particle_id) AS BIGINT) AS id_sum FROM cell_members GROUP BY cell_key",
+    "p6_cell_masses": """
+WITH m AS (SELECT DISTINCT cell_key, snap_step, local_index, particle_id FROM cell_members), p AS (SELECT DISTINCT ON (particle_id) particle_id, CASE WHEN isfinite(mass) THEN mass END AS mass FROM particles)
+SELECT cell_key, count(*) AS n_members, count(mass) AS n_masses, round(sum(mass), 6) AS mass FROM m LEFT JOIN p USING (particle_id) GROUP BY cell_key""",
     "p6_slab_widths": """
 WITH s AS (SELECT DISTINCT owner_rank, decomposition_epoch, begin_x, end_x FROM pm_ownership)
 SELECT *, row_number() OVER w AS slab_no, CAST(sum(end_x - begin_x) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_width FROM s WINDOW w AS (PARTITION BY owner_rank ORDER BY decomposition_epoch, begin_x, end_x)""",

@@ -83,3 +83,14 @@ def test_reference_empty_tables(spark):
 
 def test_parent_without_arrival_time_exists(spark):
     assert [r["state"] for r in states(spark, [(1, 1, 5, 1, "", "")], [(5, None, None)]).collect()] == ["valid"]
+
+
+def test_cell_masses_of_distinct_members(spark, tmp_path):
+    from nebulith.plans import dealt
+
+    members = [(5, 1, 0, 10, 1), (5, 1, 0, 10, 2), (5, 1, 1, 11, 1), (5, 1, 2, 12, 1), (6, 1, 3, 13, 1), (6, 2, 0, 99, 1), (None, 2, 1, 14, 1)]
+    particles = [(10, 1.5, 1), (10, 1.5, 7), (11, 2.0, 1), (12, float("nan"), 1), (13, None, 1), (14, 4.0, 1), (15, 8.0, 1)]
+    spark.createDataFrame(members, "cell_key long, snap_step long, local_index long, particle_id long, ingested_at int").write.parquet(f"{tmp_path}/cell_members.parquet")
+    spark.createDataFrame(particles, "particle_id long, mass double, ingested_at int").write.parquet(f"{tmp_path}/particles.parquet")
+    got = {r["cell_key"]: (r["n_members"], r["n_masses"], r["mass"]) for r in dealt.QUERIES["p6_cell_masses"](spark, str(tmp_path)).collect()}
+    assert got == {5: (3, 2, 3.5), 6: (2, 0, None), None: (1, 1, 4.0)}
