@@ -66,19 +66,32 @@ def so03(t):
     return stitched(p, ["_all"], ["sfc_key", "particle_id"]).select("particle_id", (F.col("_rn") - 1).cast("long").alias("new_row"))
 
 
-@query("so05_largest_gap", f"""
-WITH w AS (SELECT snap_step, x - 100 * floor(x / 100) AS x FROM {CP} WHERE isfinite(x) AND species_tag = 3), g AS (SELECT snap_step, x, coalesce(lead(x) OVER (PARTITION BY snap_step ORDER BY x), 100 + first_value(x) OVER (PARTITION BY snap_step ORDER BY x)) - x AS gap FROM w)
-SELECT snap_step, round(max(gap), 9) AS gap FROM g GROUP BY snap_step""")
-def so05(t):
-    """Largest gap between neighbours on a periodic axis, where unwrapping cuts it: a stitched lag and the wrap-around gap."""
+def _largest_gap(w):
+    """Per snap_step: a stitched lag and the wrap-around gap."""
     from nebulith.operators.skew import stitched
 
-    w = t.current_particles.where(finite("x") & (F.col("species_tag") == 3)).select("snap_step", S.periodic_wrap(F.col("x"), BOX).alias("x"))
     lagged = stitched(w, ["snap_step"], ["x"], lags={"prev": "x"})
     per = lagged.groupBy("snap_step").agg(F.max(F.col("x") - F.col("prev")).alias("inner"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     return rounded(per.select("snap_step", F.greatest(F.coalesce("inner", F.lit(0.0)), F.col("lo") + BOX - F.col("hi")).alias("gap")), gap=9)
 
 
+@query("so05_largest_gap", f"""
+WITH w AS (SELECT snap_step, x - 100 * floor(x / 100) AS x FROM {CP} WHERE isfinite(x) AND species_tag = 3), g AS (SELECT snap_step, x, coalesce(lead(x) OVER (PARTITION BY snap_step ORDER BY x), 100 + first_value(x) OVER (PARTITION BY snap_step ORDER BY x)) - x AS gap FROM w)
+SELECT snap_step, round(max(gap), 9) AS gap FROM g GROUP BY snap_step""")
+def so05(t):
+    """Largest gap between neighbours on a periodic axis, of black holes only. so05_largest_gap_all has that of all particles."""
+    return _largest_gap(t.current_particles.where(finite("x") & (F.col("species_tag") == 3)).select("snap_step", S.periodic_wrap(F.col("x"), BOX).alias("x")))
+
+
+@query("so05_largest_gap_all", f"""
+WITH v AS (SELECT snap_step, x - 100 * floor(x / 100) AS x FROM {CP} WHERE isfinite(x)), w AS (SELECT snap_step, CASE WHEN x >= 100 THEN 0 ELSE x END AS x FROM v),
+g AS (SELECT snap_step, x, coalesce(lead(x) OVER (PARTITION BY snap_step ORDER BY x), 100 + first_value(x) OVER (PARTITION BY snap_step ORDER BY x)) - x AS gap FROM w)
+SELECT snap_step, round(max(gap), 9) AS gap FROM g GROUP BY snap_step""")
+def so05_all(t):
+    """Largest gap between neighbours on a periodic axis, where unwrapping cuts it, over the particles of every species."""
+    return _largest_gap(t.current_particles.where(finite("x")).select("snap_step", S.periodic_wrap(F.col("x"), BOX).alias("x")))
+
+
 @query("wn01_curve_cuts", f"""
 WITH {_ITEMS}, s AS (SELECT *, sum(load) OVER (ORDER BY key, item ROWS UNBOUNDED PRECEDING) AS cum, sum(load) OVER () AS total FROM ki)
 SELECT item, key, CAST(least(floor((cum - load) * 16 / total), 15) AS INT) AS rank FROM s""")

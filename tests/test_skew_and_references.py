@@ -94,3 +94,17 @@ def test_cell_masses_of_distinct_members(spark, tmp_path):
     spark.createDataFrame(particles, "particle_id long, mass double, ingested_at int").write.parquet(f"{tmp_path}/particles.parquet")
     got = {r["cell_key"]: (r["n_members"], r["n_masses"], r["mass"]) for r in dealt.QUERIES["p6_cell_masses"](spark, str(tmp_path)).collect()}
     assert got == {5: (3, 2, 3.5), 6: (2, 0, None), None: (1, 1, 4.0)}
+
+
+def test_largest_gap_of_all_species(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = random.Random(8)
+    data = [(i, rng.randrange(1, 3), rng.choice([0, 1, 3]), rng.uniform(-20, 130), 1) for i in range(300)] + [(300, 1, 3, float("nan"), 1), (301, 1, 0, None, 1), (302, 3, 1, 7.0, 1)]
+    spark.createDataFrame(data + data[:20], "particle_id long, snap_step long, species_tag int, x double, ingested_at int").write.parquet(f"{tmp_path}/particles.parquet")
+    want = {}
+    for step in (1, 2, 3):
+        xs = sorted(x % 100.0 for _, s, _, x, _ in data if s == step and x is not None and x == x)
+        want[step] = max(b - a for a, b in zip(xs, [*xs[1:], xs[0] + 100.0]))
+    got = dict(rows(entry.queries()["so05_largest_gap_all"](spark, str(tmp_path))))
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-8 for s in want)
