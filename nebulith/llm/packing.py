@@ -21,7 +21,9 @@ TOKENS_PER_SEGMENT = 16  # a container of c tokens takes at most c / 16 segments
 
 
 def pack_block(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """Container number of each item of ``sizes`` (items × dimensions); every item must fit an empty container."""
+    """Container number of each item of ``sizes`` (items × dimensions); an item that fits no empty container is an error."""
+    if len(sizes) and (sizes > limits).any():
+        raise ValueError(f"{int((sizes > limits).any(axis=1).sum())} items exceed the limits {limits.tolist()} of an empty container")
     kinds, which = np.unique(sizes, axis=0, return_inverse=True)
     which = which.reshape(-1)
     order = np.argsort(which, kind="stable")
@@ -77,7 +79,8 @@ def pack(counts: DataFrame, capacities: dict[int, int], block_items: int = BLOCK
     A text over the capacity is split into full parts, each a container of its own, and a rest that is packed like a
     text; no other text is split. A text without tokens needs no room: container_id is null, part 0. Loss-bearing
     tokens of a split text are counted from its end. Limits of a container: tokens, capacity/16 segments and
-    ``loss_share`` of the capacity in loss-bearing tokens, which must be 1 where a text may bear loss throughout.
+    ``loss_share`` of the capacity in loss-bearing tokens, which must be 1 where a text may bear loss
+    throughout: a part that bears more is an error. At 1 that limit never binds, as no text has more loss-bearing tokens than tokens.
     """
     scratch = Scratch(counts.sparkSession, "pack")
     limits = {s: (c, max(1, c // TOKENS_PER_SEGMENT), max(1, int(c * loss_share))) for s, c in capacities.items()}

@@ -84,6 +84,17 @@ def test_pack_block_limits_and_fill():
     assert t.sum() / (512 * (boxes.max() + 1)) > 0.97
 
 
+@pytest.mark.parametrize("item", [(100, 1, 60), (600, 1, 0)])
+def test_pack_block_refuses_what_fits_no_container(item):
+    with pytest.raises(ValueError, match="1 items exceed"):
+        packing.pack_block(np.array([(10, 1, 5), item]), np.array([512.0, 32.0, 50.0]))
+
+
+def test_pack_block_where_loss_binds():
+    boxes = packing.pack_block(np.array([(60, 1, 30)] * 7), np.array([512.0, 32.0, 64.0]))
+    assert np.bincount(boxes).tolist() == [2, 2, 2, 1]
+
+
 @pytest.mark.parametrize("block", [5000, 300])
 def test_pack_whole(spark, block):
     rng = random.Random(5)
