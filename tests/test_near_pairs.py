@@ -63,3 +63,21 @@ def test_crowded_strip(spark):
     p = [(i, 1, 50 + rng.random() * 0.2, 50 + rng.random() * 30, 50 + rng.random() * 0.2, 0, "") for i in range(1500)]
     got = near_pairs(spark.createDataFrame(p, SCHEMA), "id", ("x", "y", "z"), "step", 0.05, 100.0, 5)
     assert [t[:3] for t in rows(got)] == brute(p, 0.05, 100.0)
+
+
+def test_all_pairs_without_the_sweep(spark, tmp_path, monkeypatch):
+    from nebulith.operators import near_pairs as sweep
+    from nebulith.plans import reference_c
+    from nebulith.plans.catalog import QUERIES
+
+    def refuse(*_):
+        raise AssertionError("the sweep was called")
+
+    rng = random.Random(9)
+    p = [(i, i % 2, *[rng.uniform(-5, 105) for _ in "xyz"], 3, 1) for i in range(150)]
+    spark.createDataFrame(p + p[:9], "particle_id long, snap_step long, x double, y double, z double, species_tag int, ingested_at int").write.parquet(f"{tmp_path}/particles.parquet")
+    monkeypatch.setattr(sweep, "near_pairs", refuse)
+    monkeypatch.setattr(reference_c, "near_pairs", refuse, raising=False)
+    got = [t[:3] for t in rows(QUERIES["jn04_all_pairs"](spark, str(tmp_path)))]
+    want = sorted((s, i, j) for i, s, *a, _, _ in p for j, t, *b, _, _ in p if i < j and s == t and sum(min(d, 100 - d) ** 2 for d in (abs(u % 100 - v % 100) for u, v in zip(a, b))) <= 100)
+    assert got == want and want
