@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nebulith.operators.base import finite
 from nebulith.operators.groups import components
 from nebulith.operators.near_pairs import near_pairs
-from nebulith.operators.skew import stitched
+from nebulith.operators.skew import heavy_values, salted_join, stitched
 from nebulith.operators.state import minimum_image, periodic_wrap
 from nebulith.runtime import Scratch
 
@@ -26,13 +26,12 @@ def link_lengths(points: DataFrame, factor: float, box: float) -> dict[int, floa
 
 
 def friend_links(points: DataFrame, factor: float, box: float) -> DataFrame:
-    """(snap_step, a, b): pairs within their snapshot's linking length, found by the strip sweep."""
+    """(snap_step, a, b): pairs within their snapshot's linking length, found by the strip sweep; a snapshot is swept with its own length."""
     lengths = link_lengths(points, factor, box)
     if not lengths:
         return points.sparkSession.createDataFrame([], "snap_step long, a long, b long")
-    pairs = near_pairs(points, "particle_id", ("x", "y", "z"), "snap_step", max(lengths.values()), box)
-    own = F.create_map(*[F.lit(x) for kv in sorted(lengths.items()) for x in kv])[F.col("grp")]
-    return pairs.where(F.col("d2") <= own * own).select(F.col("grp").alias("snap_step"), F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    pairs = near_pairs(points, "particle_id", ("x", "y", "z"), "snap_step", lengths, box)
+    return pairs.select(F.col("grp").alias("snap_step"), F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def membership(points: DataFrame, factor: float, box: float, min_size: int) -> DataFrame:
@@ -42,22 +41,25 @@ def membership(points: DataFrame, factor: float, box: float, min_size: int) -> D
     """
     scratch = Scratch(points.sparkSession, "halos")
     labels = scratch.write(components(scratch.write(friend_links(points, factor, box).select("a", "b"))))
-    labelled = points.select("snap_step", "particle_id").join(labels.withColumnRenamed("vertex", "particle_id"), "particle_id")
-    if min_size <= 1:
-        labelled = points.select("snap_step", "particle_id").join(labels.withColumnRenamed("vertex", "particle_id"), "particle_id", "left").withColumn("label", F.coalesce("label", "particle_id"))
-    sizes = labelled.groupBy("snap_step", "label").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
-    numbered = stitched(sizes, ["snap_step"], ["label"]).select("label", F.col("_rn").alias("ordinal"), (F.shiftleft(F.col("snap_step").cast("long"), STEP_SHIFT).bitwiseOR(F.col("_rn").cast("long"))).alias("halo_id"))
-    return labelled.join(numbered, "label").select("snap_step", "particle_id", "label", "ordinal", "halo_id")
+    labelled = points.select("snap_step", "particle_id").join(labels.withColumnRenamed("vertex", "particle_id"), "particle_id", "left" if min_size <= 1 else "inner")
+    labelled = scratch.write(labelled.withColumn("label", F.coalesce("label", "particle_id")))
+    sizes = scratch.write(labelled.groupBy("snap_step", "label").agg(F.count("*").alias("n")))
+    numbered = stitched(sizes.where(F.col("n") >= min_size), ["snap_step"], ["label"]).select("label", F.col("_rn").alias("ordinal"), (F.shiftleft(F.col("snap_step").cast("long"), STEP_SHIFT).bitwiseOR(F.col("_rn").cast("long"))).alias("halo_id"))
+    heavy = heavy_values(sizes, "label", counted="n")  # a halo that holds most particles is cut in pieces
+    return salted_join(labelled, numbered, "label", ["particle_id"], heavy).select("snap_step", "particle_id", "label", "ordinal", "halo_id")
 
 
 def catalogue(points: DataFrame, members: DataFrame, box: float) -> DataFrame:
     """Per halo: particles, mass, centre of mass, bulk velocity and least id.
 
-    Positions are unwrapped relative to the least-id member by one box length at most, averaged and wrapped back. The anchor is
-    a field of the group's label, so a halo that holds most particles is reduced like any sum.
+    Positions are unwrapped relative to the least-id member by one box length at most, averaged and wrapped back. The anchor is a
+    field of the group's label. Particles near each other share an anchor, so it is joined salted where a halo holds most particles; the
+    sums are reduced before the shuffle.
     """
-    anchors = points.select(F.col("particle_id").alias("label"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
-    rows = members.join(points.drop("snap_step"), "particle_id").join(anchors, "label")
+    scratch = Scratch(points.sparkSession, "catalogue")
+    rows = scratch.write(members.join(points.drop("snap_step"), "particle_id"))
+    heads = rows.where(F.col("particle_id") == F.col("label")).select("label", *[F.col(c).alias(f"a{c}") for c in "xyz"])
+    rows = salted_join(rows, heads, "label", ["particle_id"], heavy_values(rows, "label"))
     m = F.col("mass")
     at = lambda c: F.col(f"a{c}") + minimum_image(F.col(c) - F.col(f"a{c}"), box)
     sums = rows.groupBy("snap_step", "halo_id", "label").agg(

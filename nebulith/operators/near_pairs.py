@@ -86,8 +86,9 @@ def _pairs_of(y, x, z, ids, mark, fresh, radius: float, box: float) -> Iterator[
                 yield np.minimum(a, b), np.maximum(a, b), square[near]
 
 
-def _sweep(radius: float, box: float):
+def _sweep(radius: float | dict[int, float], box: float):
     """Streams sorted rows; what it holds is one batch and the active set, never a whole group."""
+    of = radius.__getitem__ if isinstance(radius, dict) else lambda _: radius
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         active: dict[str, np.ndarray] | None = None
@@ -101,10 +102,10 @@ def _sweep(radius: float, box: float):
             cut = np.flatnonzero(changed) + 1
             for s, t in zip([0, *cut], [*cut, len(rows["_y"])]):
                 if t - s > 1:
-                    for a, b, square in _pairs_of(*(rows[c][s:t] for c in ("_y", "_x", "_z", "_id", "_mark", "fresh")), radius, box):
+                    for a, b, square in _pairs_of(*(rows[c][s:t] for c in ("_y", "_x", "_z", "_id", "_mark", "fresh")), of(int(rows["_grp"][s])), box):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), rows["_grp"][s])), pa.array(a), pa.array(b), pa.array(square)], names=["grp", "id_a", "id_b", "d2"])
             last = cut[-1] if len(cut) else 0
-            keep = np.flatnonzero(rows["_y"][last:] >= rows["_y"][-1] - radius * 1.0001) + last
+            keep = np.flatnonzero(rows["_y"][last:] >= rows["_y"][-1] - of(int(rows["_grp"][-1])) * 1.0001) + last
             active = {c: v[keep] for c, v in rows.items()}
             active["fresh"][:] = False
 
@@ -129,27 +130,43 @@ def _piece(bounds: np.ndarray):
     return count
 
 
-def near_pairs(points: DataFrame, ident: str, coords: tuple[str, str, str], group: str, radius: float, box: float, partitions: int | None = None, strips: int | None = None) -> DataFrame:
+def near_pairs(points: DataFrame, ident: str, coords: tuple[str, str, str], group: str, radius: float | dict[int, float], box: float, partitions: int | None = None, strips: int | None = None) -> DataFrame:
     """(grp, id_a < id_b, squared distance d2) of different points of one group with periodic distance <= ``radius``.
 
+    ``radius`` may be one number or a number for each of a few groups (groups without one have no pairs): strips, overlaps and bands
+    follow each group's own, so a small sparse group doesn't widen the search in a large dense one.
+
     ``coords`` are (longitude, sweep axis, latitude), ``box`` their period. Defined cases: coordinates
     outside the box are wrapped; a point without three finite coordinates, an id or a group has no pair; copies of a point
     count once; points at equal places are pairs; an empty table gives no row. Ids and groups are integers.
     """
-    if not 0 < radius < box / 4:
+    own = radius if isinstance(radius, dict) else {}
+    if not all(0 < r < box / 4 for r in (own.values() if isinstance(radius, dict) else [radius])):
         raise ValueError("radius must be positive and under a quarter of the box")
     spark = points.sparkSession
     ship(spark)
     n = partitions or parallelism(spark)
-    cuts = strips or int(min(2048, box / (10 * radius)))
-    cuts = cuts if cuts >= 3 else 1
-    width, reach = box / cuts, radius * 1.0001
+
+    def cuts_of(r: float) -> int:
+        c = strips or int(min(2048, box / (10 * r)))
+        return c if c >= 3 else 1
+
+    if isinstance(radius, dict):
+        if not own:
+            return spark.createDataFrame([], "grp long, id_a long, id_b long, d2 double")
+        per = lambda f, kind: F.create_map(*[F.lit(x) for g, r in sorted(own.items()) for x in (g, f(r))])[F.col("_grp")].cast(kind)
+        cuts, reach = per(cuts_of, "int"), per(lambda r: r * 1.0001, "double")
+    else:
+        cuts, reach = F.lit(cuts_of(radius)), F.lit(radius * 1.0001)
+    width = F.lit(box) / cuts
     big = F.lit(float("inf"))
     ok = F.col(ident).isNotNull() & F.col(group).isNotNull()
+    if own:
+        ok = ok & F.col(group).isin(sorted(own))
     for c in coords:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < big)
     x, y, z = (wrap(F.col(c).cast("double"), box) for c in coords)
-    strip = F.least(F.floor(F.col("_z") / width), F.lit(cuts - 1)).cast("int")
+    strip = F.least(F.floor(F.col("_z") / width), cuts - 1).cast("int")
     placed = points.where(ok).select(
         F.col(group).cast("long").alias("_grp"), F.col(ident).cast("long").alias("_id"), x.alias("_x"), y.alias("_y"), z.alias("_z")
     ).withColumn("_strip", strip)
@@ -160,8 +177,8 @@ def near_pairs(points: DataFrame, ident: str, coords: tuple[str, str, str], grou
     bounds = sorted({sample[len(sample) * i // pieces] for i in range(1, pieces)}) if sample else []
     piece = F.pandas_udf(_piece(bounds), "int")
 
-    here, above = F.struct(F.col("_strip").alias("s"), F.lit(HOME).alias("h")), F.struct(F.pmod(F.col("_strip") + 1, F.lit(cuts)).alias("s"), F.lit(0).alias("h"))
-    in_strips = F.when((F.col("_z") > (F.col("_strip") + 1) * width - reach) & F.lit(cuts > 1), F.array(here, above)).otherwise(F.array(here))
+    here, above = F.struct(F.col("_strip").alias("s"), F.lit(HOME).alias("h")), F.struct(F.pmod(F.col("_strip") + 1, cuts).alias("s"), F.lit(0).alias("h"))
+    in_strips = F.when((F.col("_z") > (F.col("_strip") + 1) * width - reach) & (cuts > 1), F.array(here, above)).otherwise(F.array(here))
     there, moved = F.struct(F.col("_y").alias("yy"), F.lit(UNMOVED).alias("u")), F.struct((F.col("_y") + box).alias("yy"), F.lit(0).alias("u"))
     images = F.when(F.col("_y") <= reach, F.array(there, moved)).otherwise(F.array(there))
     copies = placed.distinct().select("_grp", "_id", "_x", "_z", "_y", F.inline(in_strips)).select(

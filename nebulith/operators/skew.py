@@ -7,10 +7,11 @@ then makes partial states; those of keys that cross a partition boundary are sti
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nebulith.runtime import Scratch, parallelism
 
@@ -84,26 +85,49 @@ def hot_keys(df: DataFrame, key: str, order: list[str], share: float, partitions
     )
 
 
-def heavy_values(df: DataFrame, key: str, pieces: int) -> list:
-    """Keys with more than 1/(4·pieces) of the rows: at most 4·pieces values, by counting all rows."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n")).limit(4 * pieces).collect()
-    total = df.count() if top and top[0]["n"] > 1 else 0
-    least = max(1000, math.ceil(total / (4 * pieces)))
-    return [r[0] for r in top if r["n"] >= least]
+def heavy_values(df: DataFrame, keys: str | list[str], parts: int | None = None, counted: str | None = None) -> list[tuple]:
+    """(key columns ..., pieces) of the keys that hold more than an even share of ``df``'s rows for each of ``parts`` tasks.
+
+    All rows are counted, reduced before the shuffle; a column ``counted`` holds counts already made. A key gets as many pieces
+    as it holds even shares, so no size of key or table is left uncut. As the counts add up to all rows, at most ``parts``
+    keys can pass and their pieces number at most twice that: what goes to the driver grows with the tasks, not with the data.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    parts = parts or parallelism(df.sparkSession)
+    known = df.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
+    counts = known.select(*keys, F.col(counted).alias("_n")) if counted else known.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    heavy = counts.join(F.broadcast(total), on=(F.col("_n") > 1) & (F.col("_n") * parts > F.col("_all")))  # total: one row
+    return [tuple(r) for r in heavy.select(*keys, F.ceil(F.col("_n") * parts / F.col("_all")).cast("int")).collect()]
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: str | list[str], spread: list[str], heavy: list[tuple], how: str = "inner", parts: int | None = None) -> DataFrame:
+    """Equi join whose rows of the keys in ``heavy`` (see ``heavy_values``) are dealt to as many tasks as they have pieces.
+
+    Rows of ``left`` are dealt by the hash of ``spread``; the rows of ``right`` with such a key, few as they must be (one, where the
+    key is unique in ``right``), are repeated once per piece. In a left join rows with a null key meet nothing and are dealt to all tasks.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    digest = F.xxhash64(*spread)
+    null_salt = F.when(reduce(Column.__or__, [F.col(k).isNull() for k in keys]), F.pmod(digest, F.lit(parts or parallelism(left.sparkSession)))).otherwise(F.lit(0)).cast("int")
+    if not heavy:
+        if how != "left":
+            return left.join(right.hint("merge"), keys, how)
+        return left.withColumn("_salt", null_salt).join(right.withColumn("_salt", F.lit(0)).hint("merge"), [*keys, "_salt"], how).drop("_salt")
+    kinds = [f.dataType for f in left.select(*keys).schema.fields]
+    names = [f"_k{i}" for i in range(len(keys))]
+    table = left.sparkSession.createDataFrame(heavy, T.StructType([*[T.StructField(n, t) for n, t in zip(names, kinds)], T.StructField("_pieces", T.IntegerType())]))
+    on = lambda df: reduce(Column.__and__, [df[k] == table[n] for k, n in zip(keys, names)])
+    a = left.join(F.broadcast(table), on(left), "left").drop(*names)  # table: at most one row per task
+    a = a.withColumn("_salt", F.coalesce(F.pmod(digest, F.col("_pieces")).cast("int"), null_salt)).drop("_pieces")
+    b = right.join(F.broadcast(table), on(right), "left").drop(*names)
+    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1))).drop("_pieces")
+    return a.join(b.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: str, pieces: int | None = None) -> DataFrame:
     """Left join on ``key`` (unique in ``right``) as a sort-merge of two co-partitioned streams.
 
-    Keys that hold much of ``left`` are salted by ``spread``; their single ``right`` row is repeated once per salt.
+    Keys that hold much of ``left`` are cut, by the hash of ``spread``, in proportion to their share; their single ``right`` row is repeated once per piece.
     """
-    pieces = pieces or min(64, parallelism(left.sparkSession))
-    heavy = heavy_values(left, key, pieces)
-    if not heavy:
-        return left.join(right.hint("merge"), key, "left")
-    salt = F.when(F.col(key).isin(heavy), F.pmod(F.xxhash64(spread), F.lit(pieces))).otherwise(F.lit(0).cast("long"))
-    salts = F.when(F.col(key).isin(heavy), F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    a = left.withColumn("_salt", salt)
-    b = right.withColumn("_salt", F.explode(salts))
-    return a.join(b.hint("merge"), [key, "_salt"], "left").drop("_salt")
+    return salted_join(left, right, key, [spread], heavy_values(left, key, pieces), "left", pieces)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -42,15 +43,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scratch_root(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``.
+    """A folder of this application below ``spark.checkpoint.dir``, else below the checkpoint folder that was set through the API.
 
-    The cluster names the shared folder in that setting. Only where it is unset, as in
-    local tests, a temporary folder of this machine is used and set.
+    A temporary folder of this machine is used, and set, only where neither is given and the master is local: on a cluster
+    every task would write to a folder of its own machine, so that is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not shared:
+            master = spark.sparkContext.master
+            if not re.fullmatch(r"local(\[.*\])?", master):
+                raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share; the master is {master}")
             shared = "file://" + tempfile.mkdtemp(prefix="nebulith-scratch-")
             spark.sparkContext.setCheckpointDir(shared)
             atexit.register(shutil.rmtree, shared[len("file://"):], ignore_errors=True)
@@ -80,7 +84,7 @@ class Scratch:
         ship(spark)
         self.spark = spark
         self.base = f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex[:8]}"
-        self._n = 0
+        self._n = self._dropped = 0
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return a frame that reads the written table."""
@@ -97,6 +101,16 @@ class Scratch:
             if path:
                 _delete(self.spark, path)
 
+    def drop_but(self, *frames: DataFrame) -> None:
+        """Drops all tables written here but those of ``frames``."""
+        keep = {getattr(df, "_nebulith_path", None) for df in frames}
+        for n in range(self._dropped + 1, self._n + 1):
+            path = f"{self.base}/{n:04d}"
+            if path not in keep:
+                _delete(self.spark, path)
+        kept = [int(p.rsplit("/", 1)[1]) for p in keep if p]
+        self._dropped = min(kept, default=self._n + 1) - 1
+
     def drop_all(self) -> None:
         _delete(self.spark, self.base)
 

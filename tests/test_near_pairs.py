@@ -81,3 +81,33 @@ def test_all_pairs_without_the_sweep(spark, tmp_path, monkeypatch):
     got = [t[:3] for t in rows(QUERIES["jn04_all_pairs"](spark, str(tmp_path)))]
     want = sorted((s, i, j) for i, s, *a, _, _ in p for j, t, *b, _, _ in p if i < j and s == t and sum(min(d, 100 - d) ** 2 for d in (abs(u % 100 - v % 100) for u, v in zip(a, b))) <= 100)
     assert got == want and want
+
+
+def test_radius_per_group(spark):
+    p = points(240, 100.0, 9, 0.5)
+    df = spark.createDataFrame(p, SCHEMA)
+    got = [t[:3] for t in rows(near_pairs(df, "id", ("x", "y", "z"), "step", {1: 2.0, 2: 14.0}, 100.0, 5))]
+    assert got == sorted([t for t in brute(p, 2.0, 100.0) if t[0] == 1] + [t for t in brute(p, 14.0, 100.0) if t[0] == 2])
+    assert near_pairs(df, "id", ("x", "y", "z"), "step", {}, 100.0).count() == 0
+
+
+def test_small_sparse_group_beside_a_large_dense_one(spark, monkeypatch):
+    """Candidates stay linear: the ten points of one group don't widen the search among the many of the other."""
+    import numpy as np
+    from nebulith.operators import near_pairs as N
+
+    rng = np.random.default_rng(3)
+    n, tested = 4000, []
+    y, x, z = (rng.uniform(0, 100, n) for _ in range(3))
+    plain_where = np.repeat
+    monkeypatch.setattr(N.np, "repeat", lambda a, k: tested.append(int(np.sum(k))) or plain_where(a, k))
+    order = np.argsort(y)
+    args = (y[order], x[order], z[order], np.arange(n), np.full(n, 7), np.ones(n, bool))
+
+    def candidates(radius):
+        tested.clear()
+        list(N._pairs_of(*args, radius, 100.0))
+        return sum(tested)
+
+    own, widest = candidates(0.2 * 100 / n ** (1 / 3)), candidates(0.2 * 100 / 10 ** (1 / 3))
+    assert own < 60 * n < widest

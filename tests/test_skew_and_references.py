@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -56,6 +57,36 @@ def test_salted_join_equals_plain_join(spark):
     assert rows(a.na.fill(-1)) == rows(b.na.fill(-1))
 
 
+@pytest.mark.parametrize("keys", [["target"], ["step", "target"]])
+def test_pieces_follow_the_share_and_bound_the_largest_task(spark, keys):
+    """Half of all rows bear one key: no task of the join may get more than a small part of them."""
+    n = 40_000
+    left = spark.range(n).selectExpr("id as ref", "cast(1 as long) as step", "case when id % 2 = 0 then 7 else id end as target")
+    right = spark.range(n).selectExpr("cast(1 as long) as step", "id as target", "id * 2 as twice")
+    heavy = skew.heavy_values(left, keys, 32)
+    assert [r[-2:] for r in heavy] == [(7, 17)]  # 20,001 of 40,000 rows in shares of 1,250
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = skew.salted_join(left, right, keys, ["ref"], heavy)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == n and max(sizes) < n / 6
+
+
+def test_small_tables_are_salted_too(spark):
+    left = spark.createDataFrame([(i, 1) for i in range(8)] + [(9, None), (10, 2)], "ref long, target long")
+    assert skew.heavy_values(left, "target", 4) == [(1, 4)]
+    right = spark.createDataFrame([(1, "x"), (None, "y")], "target long, v string")
+    got = {r["ref"]: r["v"] for r in skew.salted_left_join(left, right, "target", "ref", 4).collect()}
+    assert got == {**{i: "x" for i in range(8)}, 9: None, 10: None}
+    assert skew.salted_left_join(left.limit(0), right, "target", "ref").count() == 0
+
+
 TRACERS = "particle_id long, snap_step long, parent long, ingested_at int, target string, state string"
 
 
