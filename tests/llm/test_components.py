@@ -43,3 +43,15 @@ def test_ends_are_resolved_within_their_snapshot(spark):
     links = [(1, 0, 1, "b"), (1, 1, 0, "b"), (2, 0, 1, "b"), (2, 0, 2, "b"), (1, 2, 2, "b"), (1, None, 2, "b"), (None, 0, 1, "b")]
     edges = link_edges(spark.createDataFrame(links, "snap_step long, local_index_a long, local_index_b long, p string"), spark.createDataFrame(members, "snap_step long, local_index long, particle_id long, a string"))
     assert rows(connected_groups(edges)) == [(100, 100), (100, 101), (200, 200), (200, 201)]
+
+
+def test_hubs_of_every_kind(spark):
+    """Vertices with half of all links: as the least of their group, as the greatest, and as the middle of two layers."""
+    edges = [(0, 1 + i) for i in range(400)] + [(10_000, 2000 + i) for i in range(400)] + [(3500, 3000 + i) for i in range(400)] + [(3000 + i, 4000 + i) for i in range(400)]
+    assert groups(spark, edges) == brute(edges)
+
+
+def test_a_member_with_many_links(spark):
+    members = spark.createDataFrame([(1, i, 100 + i) for i in range(300)], "snap_step long, local_index long, particle_id long")
+    links = spark.createDataFrame([(1, 7, i) for i in range(300)] + [(1, i, i + 1) for i in range(0, 100, 10)], "snap_step long, local_index_a long, local_index_b long")
+    assert sorted(tuple(sorted(r)) for r in link_edges(links, members).collect()) == sorted([(min(107, 100 + i), max(107, 100 + i)) for i in range(300) if i != 7] + [(100 + i, 101 + i) for i in range(0, 100, 10)])
