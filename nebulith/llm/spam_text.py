@@ -6,6 +6,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 #: Letters of other scripts that look like Latin ones (fixed values).
 LOOKALIKES = str.maketrans({"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ո": "n", "ν": "v", "ο": "o", "α": "a", "ι": "i", "ρ": "p", "κ": "k", "τ": "t"})
@@ -16,14 +17,13 @@ _SENTENCE_END = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
 _LOG = re.compile(r"^\s*(?:\[[^\]]*\d[^\]]*\]|(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b|\d{4}-\d\d-\d\d[ T])")
 _SETTING = re.compile(r"^\s*[\w.\-]+\s*[=:]\s*\S+(?:\s+\S+)?\s*$")
 _NUMBER_ROW = re.compile(r"^\s*[+\-\d.eE]+(?:\s*[,;\t|]\s*|\s+)[+\-\d.eE,;\t |]+$")
-_HEADER_ROW = re.compile(r"^\s*[\w ]+(?:[,;\t|]\s*[\w ]+){2,}\s*$")
 _TAG = re.compile(r"^(?:#[^\s#]+|tag:\S+|[^\s>]+(?:>[^\s>]+){1,})$", re.I)
 _PATH_ITEM = re.compile(r"\w[\w '\-]*>\s?\w[\w '\-]*>\s?\w+")
 _SKU = re.compile(r"\bSKU-\d+\b|(?<![\w.])[$€£]?\d+[.,]\d\d(?![\w.])", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
-_FULL_STOP = re.compile(r"(?<=[^\W\d_]{2})[.!?][\"')\]]*(?=\s|$)")
-BLOCK_BYTES = 512  # bytes compressed at once
+_ENDS = re.compile(r"[.!?][\"')\]]*$")
+BLOCK_CHARS = 512  # characters compressed at once
 
 
 def fold(text: str) -> str:
@@ -33,26 +33,64 @@ def fold(text: str) -> str:
     return _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).translate(LOOKALIKES)
 
 
-def block_ratios(text: str) -> list[tuple[int, float]]:
-    """(bytes, compressed / raw) of consecutive blocks; a short last block joins the one before.
+def is_data(line: str) -> bool:
+    """Lines of logs, settings and tables of numbers."""
+    return bool(_LOG.match(line) or _SETTING.match(line) and "://" not in line and not line.lower().startswith("tag:") or _NUMBER_ROW.match(line))
 
-    Addresses and digits are masked first, for their letters hide how alike the entries of a list are.
+
+def _cut(part: str) -> Iterator[str]:
+    if len(part) <= BLOCK_CHARS:
+        yield part
+        return
+    words, n = [], 0
+    for w in part.split():
+        if words and n + len(w) > BLOCK_CHARS:
+            yield " ".join(words)
+            words, n = [], 0
+        words.append(w)
+        n += len(w) + 1
+    if words:
+        yield " ".join(words)
+
+
+def page_blocks(text: str) -> tuple[int, list[tuple[int, int, float, bool]]]:
+    """(words in lines of data, blocks), a block being (bytes, words, compressed / raw, finished).
+
+    A block holds up to BLOCK_CHARS of successive sentences or, for itself, of successive text that ends without a full stop, question
+    or exclamation mark after at least four words: its density of sentence ends is 0. Addresses are masked before compression,
+    and digits in unfinished text, for they hide how alike the entries of a list are; numbers tell sentences of a report apart.
     """
-    raw = _URL.sub("u://", fold(text).lower()).encode("utf-8", "replace").translate(_DIGITS)
-    cuts = list(range(0, len(raw), BLOCK_BYTES)) or [0]
-    if len(cuts) > 1 and len(raw) - cuts[-1] < BLOCK_BYTES // 2:
-        cuts.pop()
-    out = []
-    for a, b in zip(cuts, [*cuts[1:], len(raw)]):
-        if b > a:
-            out.append((b - a, (len(zlib.compress(raw[a:b], 6)) - 11) / (b - a)))
-    return out
+    data, out, held, chars, kind = 0, [], [], 0, None
 
+    def close() -> None:
+        nonlocal held, chars
+        if held:
+            s = "\n".join(held)
+            raw = s.lower().encode("utf-8", "replace")
+            if not kind:
+                raw = raw.translate(_DIGITS)
+            out.append((len(raw), len(s.split()), (len(zlib.compress(raw, 6)) - 11) / len(raw), kind))
+        held, chars = [], 0
 
-def sentence_density(text: str) -> float:
-    """Sentence ends per word: a full stop, question or exclamation mark after a word of letters and before space, a capital or the end."""
-    words = len(text.split())
-    return len(_FULL_STOP.findall(text)) / words if words else 0.0
+    for line in fold(text).splitlines():
+        if not line.strip():
+            continue
+        if is_data(line):
+            data += len(line.split())
+            continue
+        for part in _SENTENCE_END.split(line):
+            part = part.strip()
+            if not part:
+                continue
+            finished = bool(_ENDS.search(part)) and len(part.split()) >= 4
+            for piece in _cut(_URL.sub("u://", part)):
+                if finished != kind or chars + len(piece) > BLOCK_CHARS:
+                    close()
+                kind = finished
+                held.append(piece)
+                chars += len(piece) + 1
+    close()
+    return data, out
 
 
 def _segments(text: str):
@@ -64,7 +102,7 @@ def _segments(text: str):
                 yield "\n".join(run), False
                 run = []
             continue
-        if _LOG.match(line) or _SETTING.match(line) and "://" not in line and not line.lower().startswith("tag:") or _NUMBER_ROW.match(line):
+        if is_data(line):
             if run:
                 yield "\n".join(run), False
                 run = []
@@ -73,7 +111,7 @@ def _segments(text: str):
         for part in _SENTENCE_END.split(line):
             if not part.strip():
                 continue
-            ends = re.search(r"[.!?][\"')\]]*$", part.rstrip())
+            ends = _ENDS.search(part.rstrip())
             if ends and (not _URL.search(part.rstrip().split()[-1]) or len(_URL.sub(" ", part).split()) >= 4):
                 if run:
                     yield "\n".join(run), False

@@ -64,6 +64,33 @@ def test_every_page_is_counted_whatever_its_redundancy(spark):
     assert got[1]["list_share"] == 0 and got[2]["list_share"] > spam.SHARE and got[3]["list_share"] > spam.SHARE
 
 
+def test_redundancy_and_punctuation_decide(spark):
+    """Pages that the exact count of list words misses: their sentences are extremely redundant. Reports with numbers are not."""
+    rng = random.Random(6)
+    places = ["Lindmere", "Tarnwick", "Ysk", "Edlach"]
+    stuffed = ["Buy cheap telescope! " * 200, ", ".join(["star chart"] * 80) + ".", " ".join(f"Best star chart and gas map in {rng.choice(places)}!" for _ in range(30))]
+    plain = [
+        "\n".join(f"After {rng.randrange(9999)} steps the tree walk lost {rng.randrange(99)} cells in pass {rng.randrange(9)}, which {w} did not expect." for w in fake_words(rng, 40, 300)),
+        "\n".join(f"[{i:05d}] rank {i % 8}: tree build took 3.5 ms" for i in range(60)),
+        "\n".join(" ".join(fake_words(rng, 9, 4000)).capitalize() + f", see https://www.a{i}.test/x." for i in range(12)),
+    ]
+    docs = [(i, prose(rng, rng.randrange(3, 20)), "en") for i in range(200)] + [(1000 + i, t, "en") for i, t in enumerate(stuffed)] + [(2000 + i, t, "en") for i, t in enumerate(plain)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    scores = {r["doc_id"]: r for r in spam.page_scores(df).collect()}
+    assert all(scores[1000 + i]["redundant_share"] > spam.SHARE for i in range(len(stuffed)))
+    assert all(scores[2000 + i]["redundant_share"] <= spam.SHARE and not scores[2000 + i]["list_share"] > spam.SHARE for i in range(len(plain)))
+    assert sum(r["flagged"] for r in scores.values()) <= 0.1 * len(scores)
+    assert rows(spam.spam_pages(df)) == [(1000 + i,) for i in range(len(stuffed))]
+
+
+def test_rare_languages_share_the_expected_ratios(spark):
+    rng = random.Random(8)
+    docs = [(i, prose(rng, 8), "en") for i in range(40)] + [(100, prose(rng, 8), "xx")]
+    table = spam.expected_ratios(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert {lang for lang, _ in table} == {"en", "*"} and all(0 < m < 1.2 for m in table.values())
+    assert spam.expected_ratios(spark.createDataFrame([], "doc_id long, text string, lang string")) == {}
+
+
 def test_token_counts(spark):
     enc = tokens.load(tokens.TOKENIZER)
     texts = [(1, "Prompt here.\n\nAnswer <|endoftext|> there."), (2, ""), (3, None), (4, "x" * 200_000), (5, "no prompt"), (None, "z")]
