@@ -22,7 +22,8 @@ from nebulith.runtime import Scratch, ship
 SPARSE = 1.0  # normalized ratio up to which text without sentence ends is a list
 EXTREME = 0.7  # ... and up to which sentences are
 SURE_BYTES = 128  # shorter blocks of sentences are not judged by their ratio
-DOUBT = 0.85  # normalized ratio from EXTREME to which sentences are in doubt
+NUMBERS = 0.02  # sentences with more than this share of digits are reports: their ratio alone does not make them lists
+DOUBT = 0.85  # normalized ratio up to which sentences that aren't lists by the rules above are in doubt
 DOUBT_SHARE = 0.3  # pages with more than this share of their words in lists or doubtful blocks are counted exactly
 SHARE = 0.5  # more than this share of the words in lists makes a case
 OWN_SHARE = 1 / 1000  # languages with at least this share of all blocks have expected ratios of their own, so at most 1,000 do
@@ -50,7 +51,7 @@ def expected_ratios(docs: DataFrame) -> dict[tuple[str, int], float]:
         for batch in batches:
             cells: dict[tuple[str, int, int], int] = {}
             for text, lang in zip(batch["text"], batch["lang"]):
-                for n, _, ratio, finished in page_blocks(text)[1]:
+                for n, _, ratio, finished, _ in page_blocks(text)[1]:
                     if finished:
                         at = (lang, _size_class(n), int(ratio * BINS))
                         cells[at] = cells.get(at, 0) + 1
@@ -88,12 +89,12 @@ def page_scores(docs: DataFrame, table: dict[tuple[str, int], float] | None = No
                 data, blocks = page_blocks(text)
                 words = data + sum(b[1] for b in blocks)
                 least, sure, doubt, finished = math.inf, 0, 0, 0
-                for n, w, ratio, ended in blocks:
+                for n, w, ratio, ended, digits in blocks:
                     size = _size_class(n)
                     x = ratio / (table.get((lang, size)) or table.get(("*", size)) or 1.0)
                     least = min(least, x)
                     finished += w * ended
-                    sure += w * (x <= EXTREME and n >= SURE_BYTES if ended else x <= SPARSE)
+                    sure += w * (x <= EXTREME and n >= SURE_BYTES and digits <= NUMBERS if ended else x <= SPARSE)
                     doubt += w * (not ended or x <= DOUBT)
                 share = sure / words if words else 0.0
                 flagged = share <= SHARE and doubt > DOUBT_SHARE * words

@@ -53,8 +53,8 @@ def _cut(part: str) -> Iterator[str]:
         yield " ".join(words)
 
 
-def page_blocks(text: str) -> tuple[int, list[tuple[int, int, float, bool]]]:
-    """(words in lines of data, blocks), a block being (bytes, words, compressed / raw, finished).
+def page_blocks(text: str) -> tuple[int, list[tuple[int, int, float, bool, float]]]:
+    """(words in lines of data, blocks), a block being (bytes, words, compressed / raw, finished, share of digits).
 
     A block holds up to BLOCK_CHARS of successive sentences or, for itself, of successive text that ends without a full stop, question
     or exclamation mark after at least four words: its density of sentence ends is 0. Addresses are masked before compression,
@@ -67,9 +67,10 @@ def page_blocks(text: str) -> tuple[int, list[tuple[int, int, float, bool]]]:
         if held:
             s = "\n".join(held)
             raw = s.lower().encode("utf-8", "replace")
+            digits = 1 - len(raw.translate(None, b"0123456789")) / len(raw)
             if not kind:
                 raw = raw.translate(_DIGITS)
-            out.append((len(raw), len(s.split()), (len(zlib.compress(raw, 6)) - 11) / len(raw), kind))
+            out.append((len(raw), len(s.split()), (len(zlib.compress(raw, 6)) - 11) / len(raw), kind, digits))
         held, chars = [], 0
 
     for line in fold(text).splitlines():
