@@ -122,6 +122,33 @@ def test_pack_block_where_loss_binds():
     assert np.bincount(boxes).tolist() == [2, 2, 2, 1]
 
 
+def test_vector_packing_holds_limits_that_scalar_packing_breaks():
+    rng = np.random.default_rng(4)
+    t = np.concatenate([rng.integers(15, 60, 1500), rng.integers(150, 480, 1500)])
+    loss = np.where(rng.random(len(t)) < 0.5, t, (t * rng.uniform(0.3, 1.0, len(t))).astype(int))
+    sizes = np.stack([t, np.ones_like(t), loss], axis=1)
+    limits = np.array([512.0, 4.0, 460.0])
+    sizes = sizes[loss <= 460]
+    boxes = packing.pack_block(sizes, limits)
+    scalar = packing.pack_block(np.stack([sizes[:, 0], np.ones(len(sizes), int), np.zeros(len(sizes), int)], axis=1), np.array([512.0, 512.0, 1.0]))
+    worst = lambda b, d: np.bincount(b, weights=sizes[:, d]).max()
+    assert worst(scalar, 1) > 4 and worst(scalar, 2) > 460
+    assert all(worst(boxes, d) <= limits[d] for d in range(3))
+    least = max((sizes.sum(axis=0) / limits).max(), scalar.max() + 1)
+    assert boxes.max() + 1 < 1.12 * least
+
+
+def test_text_that_bears_more_loss_than_the_limit(spark):
+    counts = [(1, 500, 500), (2, 40, 0), (3, 300, 100), (4, 512, 512), (5, 1000, 1000)]
+    got = packing.pack(spark.createDataFrame(counts, "doc_id long, n_tokens long, n_loss long"), {1: 512}, loss_share=0.9).toPandas()
+    boxes = got.groupby("container_id").agg({"doc_id": list, "n_loss": "sum"})
+    shared = boxes[~boxes.index.str.contains("-full-|-loss-")]
+    assert sorted(sum(shared.doc_id, [])) == [2, 3] and (shared.n_loss <= 460).all()
+    assert sorted(map(tuple, boxes.doc_id[boxes.index.str.contains("-full-|-loss-")])) == [(1,), (4,), (5,), (5,)]
+    rep = packing.pack_report(packing.pack(spark.createDataFrame(counts, "doc_id long, n_tokens long, n_loss long"), {1: 512}), {1: 512}).first()
+    assert rep["n_containers"] == 5 and rep["alone_share"] == 0.8 and rep["most_segments"] == 2
+
+
 @pytest.mark.parametrize("block", [5000, 300])
 def test_pack_whole(spark, block):
     rng = random.Random(5)
