@@ -27,6 +27,12 @@ def p1_values(spark: SparkSession, d: str) -> DataFrame:
     return _si_readings(spark, d)[0]
 
 
+def p1_hidden_units(spark: SparkSession, d: str) -> DataFrame:
+    """How well the units of a tenth of the fields, hidden before the fit, are predicted: precision, coverage and calibration per unit."""
+    si = {r["symbol"]: r["si_value"] for r in read_table(spark, d, "base_units").collect()}  # a fixed table of 12 rows
+    return unit_harmony.hidden_unit_report(read_table(spark, d, "field_readings"), read_table(spark, d, "ic_fields"), read_table(spark, d, "ic_files"), si)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Ids missing on either side and columns that differ between particles and particles_replica."""
     return copy_diff.compare_copies(
@@ -113,5 +119,5 @@ def p7_consistent(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_values, p2_found, p3_found, p5_found, p5_report, p6_found, p6_cell_results, p6_cell_masses, p6_slab_widths, p7_found, p7_lifespans, p7_consistent)
+    for f in (p1_found, p1_values, p1_hidden_units, p2_found, p3_found, p5_found, p5_report, p6_found, p6_cell_results, p6_cell_masses, p6_slab_widths, p7_found, p7_lifespans, p7_consistent)
 }

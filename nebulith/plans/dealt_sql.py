@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from nebulith.functions.unit_text import SPELLINGS
+
 _REF = """
 WITH target AS (
   SELECT 'particle' AS kind, particle_id AS k, min(removed_step) AS removed_at, min(ingested_at) AS first_seen FROM particles GROUP BY particle_id
@@ -31,7 +33,33 @@ canon AS (SELECT DISTINCT source_file_index, field_lane AS lane, trim(regexp_rep
   FROM ic_fields)
 """
 
+#: Spelled units as numerator and denominator, for the twin of the unit rules: one pattern per mark instead of a parser.
+_NAMES = ", ".join(f"('{n}', '{u}', NULL)" for n, u in sorted(SPELLINGS.items())) + ", ('kms', 'km', 's'), ('ms', 'm', 's'), ('cms', 'cm', 's'), ('kpcgyr', 'kpc', 'Gyr')"
+_SI = f"""
+WITH name(name, over, under) AS (VALUES {_NAMES}),
+base AS (SELECT name, o.si_value / coalesce(u.si_value, 1) AS si FROM name JOIN base_units o ON o.symbol = over LEFT JOIN base_units u ON u.symbol = under WHERE under IS NULL OR u.symbol IS NOT NULL),
+once AS (SELECT reading_id, particle_id, quantity, source_file_index, dataset_path, max(CASE WHEN NOT isnan(stored_value) THEN stored_value END) AS stored, max(stored_text) AS text FROM field_readings GROUP BY ALL),
+split AS (SELECT *, regexp_extract(text, '^\\s*([-+]?[0-9.,]*[0-9][0-9.,]*([eE][-+]?[0-9]+)?)', 1) AS digits, nullif(trim(regexp_replace(text, '^\\s*[-+]?[0-9.,]*[0-9][0-9.,]*([eE][-+]?[0-9]+)?', ''), ' \t'), '') AS unit FROM once),
+num AS (SELECT *, CASE WHEN stored IS NOT NULL THEN stored WHEN strpos(digits, '.') > strpos(digits, ',') OR digits NOT LIKE '%,%' THEN TRY_CAST(replace(digits, ',', '') AS DOUBLE) ELSE TRY_CAST(replace(replace(digits, '.', ''), ',', '.') AS DOUBLE) END AS number FROM split),
+field AS (SELECT source_file_index, dataset_path, max(CASE WHEN NOT isnan(base_unit_to_si) THEN base_unit_to_si END) AS factor, max(CASE WHEN NOT isnan(hubble_exponent) THEN hubble_exponent END) AS hx,
+  max(CASE WHEN NOT isnan(scale_factor_exponent) THEN scale_factor_exponent END) AS ax, max(source_unit) AS source_unit FROM ic_fields GROUP BY ALL),
+file AS (SELECT source_file_index, max(hubble_param) AS h, max(scale_factor) AS a FROM ic_files GROUP BY ALL),
+texts AS (SELECT source_unit AS text FROM field UNION SELECT unit FROM num),
+t1 AS (SELECT text, regexp_replace(regexp_replace(regexp_replace(lower(text), '[][{{}}]', '', 'g'), 'sqrt *\\( *a *\\)', ' a^0.5 ', 'g'), 'solar[ _]+mass(es)?', 'msun', 'g') AS t FROM texts WHERE text IS NOT NULL),
+t2 AS (SELECT text, ' ' || regexp_replace(t, '[*()·×]', ' ', 'g') || ' ' AS t FROM t1),
+marks AS (SELECT text, t, CASE WHEN regexp_matches(t, '/ *h[^a-z]|[^a-z]h *\\^?-1') THEN -1.0 ELSE 0.0 END AS h,
+  CASE WHEN regexp_matches(t, '[^a-z]a *\\^?(0\\.5|1/2)') THEN 0.5 WHEN regexp_matches(t, '[^a-z]a[^a-z]') THEN 1.0 ELSE 0.0 END + CASE WHEN regexp_matches(t, 'comoving|cmv') THEN 1.0 ELSE 0.0 END
+   + CASE WHEN regexp_matches(t, '[^a-z]c(k?m|cm|k?pc|mpc)[^a-z]') AND NOT regexp_matches(t, '[^a-z]cm[^a-z]') THEN 1.0 ELSE 0.0 END AS a FROM t2),
+bare AS (SELECT *, CAST(coalesce(nullif(regexp_extract(t, '(1\\.0e|1e|10\\^) *\\+?([0-9]+)', 2), ''), '0') AS INT) AS ten,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(1\\.0e|1e|10\\^) *\\+?[0-9]+', ' ', 'g'), '/ *h([^a-z])|([^a-z])h *\\^?-1', '\\1\\2 ', 'g'), '[^a-z]a *(\\^?(0\\.5|1/2)|[^a-z0-9^])', ' ', 'g'), 'comoving|cmv|physical|proper|[^a-z_]', '', 'g') AS word FROM marks),
+unit AS (SELECT text, h, a, pow(10.0, ten) * coalesce(n.si, c.si) AS base FROM bare LEFT JOIN base n ON n.name = word LEFT JOIN base c ON word[1] = 'c' AND c.name = word[2:] AND n.name IS NULL),
+si AS (SELECT num.reading_id, particle_id, quantity, number * CASE WHEN own THEN ut.base ELSE coalesce(uf.base, factor) END * pow(fh, CASE WHEN own THEN ut.h ELSE coalesce(hx, uf.h, 0) END) * pow(file.a, CASE WHEN own THEN ut.a ELSE coalesce(ax, uf.a, 0) END) AS v
+  FROM (SELECT num.*, stored IS NULL AND u.base IS NOT NULL AS own, u.base AS ubase FROM num LEFT JOIN unit u ON u.text = num.unit) num LEFT JOIN unit ut ON ut.text = num.unit
+  LEFT JOIN field USING (source_file_index, dataset_path) LEFT JOIN unit uf ON uf.text = source_unit LEFT JOIN (SELECT source_file_index, h AS fh, a FROM file) file USING (source_file_index))
+"""
+
 SQL = {
+    "p1_found": _SI + "SELECT particle_id, quantity FROM si WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY ALL HAVING max(v) - min(v) > 0.01 * greatest(abs(max(v)), abs(min(v)))",
     "p2_found": f"""
 WITH a AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM particles), b AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM particles_replica),
 j AS (SELECT coalesce(a.particle_id, b.particle_id) AS particle_id, CASE WHEN a.particle_id IS NULL THEN ['missing_in_particles'] WHEN b.particle_id IS NULL THEN ['missing_in_replica'] ELSE

@@ -59,6 +59,46 @@ def test_rules(spark):
     assert rows(U.disagreeing(values)) == [(1, "position")]
 
 
+def test_number_texts_in_columns_as_in_python(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["1,5 kpc", "+7619646 cm s^-1", "-2,5e3\t[m]", "1.234,5", "1,234.5", "14.5507 1e10 Msun", "no", None, "", ".5", ",5 m", "1,2,3 km", "1.2.3", "7\u00a0kpc/h", "-1E-3"]
+    number, unit = U.number_text(F.col("t"))
+    got = {r["t"]: (r["n"], r["u"]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", number.alias("n"), unit.alias("u")).collect()}
+    for t in texts:
+        want = split_number(t)
+        assert got[t][0] == want[0] and (want[0] is None or (got[t][1] or "") == want[1]), t
+
+
+def test_rare_units_are_one_class_without_a_unit(spark, monkeypatch):
+    """Units beyond the most frequent ones take part in fit and calibration; a field given to them goes to review."""
+    monkeypatch.setattr(U, "MAX_CLASSES", 2)
+    files = [(f, 0.7, 1.0, f"run_{f}", 3) for f in range(120)]
+    bases = [(1.0, 1e22), (3e19, 300.0), (0.01, 1e24), (3e16, 3e5)]
+    fields, readings = [], []
+    for f in range(120):
+        base, size = bases[0] if f % 6 in (0, 1) else bases[1] if f % 6 in (2, 3) else bases[2] if f % 6 == 4 else bases[3]
+        fields.append((f, "/X", None if f >= 96 else base, 0.0, 0.0, 1, 0, 0, None))
+        readings.append((f, f, "position", f, "/X", size * (1 + f % 7 / 10), None))
+    got, model, _ = convert(spark, readings, fields, files)
+    assert len(model.classes) == 3 and model.classes[-1] is None and model.held_out > 0
+    assert {got[f][1] for f in range(96, 120) if f % 6 > 3} == {"review"}
+
+
+def test_hidden_unit_report(spark):
+    files = [(f, 0.7, 1.0, f"run_{f}", 3) for f in range(400)]
+    fields, readings = [], []
+    for f in range(400):
+        for path, base in (("/X", (0.01, 1.0, 3e19)[f % 3]), ("/Y", (0.01, 1.0, 3e19)[f % 2])):
+            fields.append((f, path, base, 0.0, 0.0, 1, 0, 0, None))
+            readings.append((len(readings), f, "position", f, path, 3e21 / base, None))
+    frames = spark.createDataFrame([(*r, 9.0) for r in readings], READ), spark.createDataFrame([(*f, "c") for f in fields], FIELD), spark.createDataFrame(files, FILE)
+    report = {r["unit"]: r for r in U.hidden_unit_report(*frames, SI).collect()}
+    assert set(report) == {None, 0.01, 1.0, 3e19}
+    assert report[None]["n_hidden"] == sum(r["n_hidden"] for u, r in report.items() if u) and report[None]["precision"] > 0.98 and report[None]["coverage"] > 0.9
+    assert U.hidden_unit_report(frames[0].limit(0), frames[1].limit(0), frames[2].limit(0), SI).count() == 0
+
+
 def test_empty_tables(spark):
     got, model, values = convert(spark, [], [], [])
     assert got == {} and model.forest is None and rows(U.disagreeing(values)) == []
