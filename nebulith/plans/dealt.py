@@ -113,11 +113,17 @@ def p7_lifespans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_consistent(spark: SparkSession, d: str) -> DataFrame:
-    """All restart rows under unified field names and types, in long form."""
-    return schema_drift.consistent_rows(read_table(spark, d, "ic_files"), read_table(spark, d, "ic_fields"), read_table(spark, d, "restart_rows"))
+    """All restart rows under unified field names, each value in the column of its field's unified type."""
+    out = schema_drift.consistent_rows(read_table(spark, d, "ic_files"), read_table(spark, d, "ic_fields"), read_table(spark, d, "restart_rows"))
+    return out.withColumn("as_decimal", F.col("as_decimal").cast("string"))
+
+
+def p7_casts(spark: SparkSession, d: str) -> DataFrame:
+    """Unified name and type of every path of a run, from the alias and cast tables."""
+    return schema_drift.cast_table(schema_drift.field_catalogue(read_table(spark, d, "ic_files"), read_table(spark, d, "ic_fields")))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_values, p1_hidden_units, p2_found, p3_found, p5_found, p5_report, p6_found, p6_cell_results, p6_cell_masses, p6_slab_widths, p7_found, p7_lifespans, p7_consistent)
+    for f in (p1_found, p1_values, p1_hidden_units, p2_found, p3_found, p5_found, p5_report, p6_found, p6_cell_results, p6_cell_masses, p6_slab_widths, p7_found, p7_lifespans, p7_casts, p7_consistent)
 }

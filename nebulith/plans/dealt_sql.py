@@ -33,6 +33,13 @@ canon AS (SELECT DISTINCT source_file_index, field_lane AS lane, trim(regexp_rep
   FROM ic_fields)
 """
 
+_CASTS = _CANON + """, f AS (SELECT canon.*, run_name, ord FROM canon JOIN pos USING (source_file_index)),
+latest AS (SELECT run_name, lane, arg_max(path, (ord, path)) AS unified FROM f WHERE lane IS NOT NULL GROUP BY ALL),
+alias AS (SELECT run_name, path, max(unified) AS unified FROM (SELECT DISTINCT run_name, lane, path FROM f) JOIN latest USING (run_name, lane) GROUP BY ALL),
+named AS (SELECT f.*, coalesce(unified, path) AS field FROM f LEFT JOIN alias USING (run_name, path)),
+holds AS (SELECT run_name, field, CASE WHEN bool_or(type LIKE 'float%') THEN 'double' WHEN bool_or(type = 'unsigned:8') THEN 'decimal(20,0)' ELSE 'bigint' END AS cast_to FROM named GROUP BY ALL)
+"""
+
 #: Spelled units as numerator and denominator, for the twin of the unit rules: one pattern per mark instead of a parser.
 _NAMES = ", ".join(f"('{n}', '{u}', NULL)" for n, u in sorted(SPELLINGS.items())) + ", ('kms', 'km', 's'), ('ms', 'm', 's'), ('cms', 'cm', 's'), ('kpcgyr', 'kpc', 'Gyr')"
 _SI = f"""
@@ -99,4 +106,13 @@ UNION SELECT p.source_file_index, a.path, 'removed' FROM f a JOIN pos p ON p.pre
     "p7_lifespans": _CANON + """, f AS (SELECT DISTINCT run_name, path, type, ord, n_files FROM canon JOIN pos USING (source_file_index)),
 i AS (SELECT *, ord - row_number() OVER (PARTITION BY run_name, path, type ORDER BY ord) AS island FROM f)
 SELECT run_name, path, type, min(ord) AS first_ord, max(ord) AS last_ord, min(ord) > 1 AS started, max(ord) < max(n_files) AS ended FROM i GROUP BY run_name, path, type, island""",
+    "p7_casts": _CASTS + "SELECT DISTINCT run_name, path, field AS unified, cast_to FROM named JOIN holds USING (run_name, field)",
+    "p7_consistent": _CASTS + """, once AS (SELECT row_id, source_file_index, particle_id, CASE WHEN json_valid(min(payload)) THEN min(payload) END AS payload FROM restart_rows GROUP BY ALL),
+kv AS (SELECT row_id, source_file_index, particle_id, unnest(json_keys(payload)) AS key, payload FROM once),
+v AS (SELECT row_id, source_file_index, particle_id, trim(regexp_replace(lower(trim(key)), '/+', '/', 'g'), '/') AS path, json_extract_string(payload, '$."' || key || '"') AS text FROM kv),
+n AS (SELECT source_file_index, path, max(field) AS field, max(type) AS type, max(cast_to) AS cast_to FROM named JOIN holds USING (run_name, field) GROUP BY ALL),
+t AS (SELECT row_id, source_file_index, particle_id, coalesce(field, path) AS field, type, coalesce(cast_to, 'double') AS cast_to, text FROM v LEFT JOIN n USING (source_file_index, path)),
+c AS (SELECT *, CASE WHEN cast_to = 'double' THEN TRY_CAST(text AS DOUBLE) END AS as_double, CASE WHEN cast_to = 'bigint' THEN TRY_CAST(TRY_CAST(text AS DECIMAL(38,6)) AS BIGINT) END AS as_bigint,
+  CASE WHEN cast_to = 'decimal(20,0)' THEN CAST(TRY_CAST(TRY_CAST(text AS DECIMAL(38,6)) AS DECIMAL(20,0)) AS VARCHAR) END AS as_decimal FROM t)
+SELECT * EXCLUDE (text), text IS NOT NULL AND as_double IS NULL AND as_bigint IS NULL AND as_decimal IS NULL AS bad_cast FROM c""",
 }

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -59,5 +61,50 @@ def test_consistent_rows(spark):
     files, fields = tables(spark, [(1, "r", day(1)), (2, "r", day(2))], [(1, 1, "A/X", "f8"), (2, 1, "/A/X2", "f8"), (1, 2, "A/I", "u64"), (2, 2, "A/I", "<u8")])
     data = [(1, 1, 5, '{"A/X": "1.5", "A/I": 18446744073709551615}'), (2, 2, 6, '{"/A/X2/": null, "A/I": "no"}'), (3, 2, 7, "not json"), (4, 2, 8, None), (1, 1, 5, '{"A/X": "1.5", "A/I": 18446744073709551615}')]
     out = S.consistent_rows(files, fields, spark.createDataFrame(data, "row_id long, source_file_index long, particle_id long, payload string"))
-    got = {(r["row_id"], r["field"]): (r["value"], r["exact_integer"], r["bad_cast"]) for r in out.collect()}
-    assert got == {(1, "a/x2"): (1.5, None, False), (1, "a/i"): (18446744073709551615.0, "18446744073709551615", False), (2, "a/x2"): (None, None, False), (2, "a/i"): (None, None, True)}
+    got = {(r["row_id"], r["field"]): (r["as_double"], r["as_bigint"], r["as_decimal"], r["bad_cast"]) for r in out.collect()}
+    big = Decimal(18446744073709551615)
+    assert got == {(1, "a/x2"): (1.5, None, None, False), (1, "a/i"): (None, None, big, False), (2, "a/x2"): (None, None, None, False), (2, "a/i"): (None, None, None, True)}
+
+
+def test_one_type_for_all_files_of_a_run(spark):
+    files, fields = tables(spark, [(1, "r", day(1)), (2, "r", day(2)), (3, "s", day(1))], [
+        (1, 1, "A/X", "i4"), (2, 1, "A/Y", "f4"), (1, 2, "A/I", "i4"), (2, 2, "A/I", "i8"), (1, 3, "A/U", "u4"), (2, 3, "A/U", "u64"), (3, 1, "A/X", "i4"), (3, None, "A/N", "odd"),
+    ])
+    got = {(r["run_name"], r["path"]): (r["unified"], r["cast_to"]) for r in S.cast_table(S.field_catalogue(files, fields)).collect()}
+    assert got == {
+        ("r", "a/x"): ("a/y", "double"), ("r", "a/y"): ("a/y", "double"), ("r", "a/i"): ("a/i", "bigint"), ("r", "a/u"): ("a/u", "decimal(20,0)"), ("s", "a/x"): ("a/x", "bigint"), ("s", "a/n"): ("a/n", "double"),
+    }
+
+
+def test_changes_against_file_by_file_comparison(spark):
+    """Random runs with null lanes, swaps and gaps: the lifespans give what comparing each file with the one before gives."""
+    rng = random.Random(11)
+    files, fields, runs = [], [], {}
+    for i in range(60):
+        run = f"r{i % 4}"
+        files.append((i, run, day(i)))
+        have = {}
+        for lane in range(1, 7):
+            if rng.random() < 0.8:
+                have[rng.choice([lane, lane, lane, None]), rng.choice([f"p{lane}", f"p{lane}", f"q{lane}", f"p{lane % 6 + 1}"])] = rng.choice(["f4", "f8", "f8"])
+        seen = {}
+        for (lane, path), kind in have.items():
+            if path not in {p for _, p in seen} and (lane is None or lane not in {x for x, _ in seen}):
+                seen[lane, path] = kind
+        fields += [(i, lane, path, kind) for (lane, path), kind in seen.items()]
+        runs.setdefault(run, []).append((i, seen))
+    want = set()
+    for items in runs.values():
+        for (_, old), (i, new) in zip(items, items[1:]):
+            kept = set()
+            for (lane, path), kind in new.items():
+                twin = next((k for k in old if lane is not None and k[0] == lane), None) or next((k for k in old if k[1] == path and (lane is None or k[0] is None)), None)
+                if twin is None:
+                    want.add((i, path, "added"))
+                    continue
+                want |= {(i, path, "renamed")} if twin[1] != path else set()
+                want |= {(i, path, "retyped")} if old[twin] != kind else set()
+            for lane, path in old:
+                kept = any((lane is not None and k[0] == lane) or (k[1] == path and (lane is None or k[0] is None)) for k in new)
+                want |= set() if kept else {(i, path, "removed")}
+    assert rows(S.schema_changes(*tables(spark, files, fields))) == sorted(want)
