@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nebulith.functions import morton
 from nebulith.functions.physics import short_range_factor, softened_inverse_cube
 from nebulith.operators.base import count_if, finite
 from nebulith.operators.diagnostics import mass_on_grid
+from nebulith.operators.mesh_fft import dense, filtered
 from nebulith.operators.near_pairs import near_pairs
-from nebulith.operators.spectrum import MAX_MESH
+from nebulith.operators.skew import heavy_values, salted_join
 from nebulith.operators.state import minimum_image
-from nebulith.runtime import Scratch, ship
+from nebulith.runtime import Scratch
 
 LEAF_SIZE = 16
 TREE_DEPTH = 21
@@ -52,6 +53,11 @@ def tree_nodes(points: DataFrame, depth: int, box: float, leaf_size: int = LEAF_
     return kept.withColumns({"half": half, **center, "is_leaf": (F.col("n") <= leaf_size) | (F.col("level") == depth)})
 
 
+def tree_depth(n: int, leaf_size: int = LEAF_SIZE) -> int:
+    """Levels that split ``n`` points into leaves of ``leaf_size``, and three more for where they crowd."""
+    return min(TREE_DEPTH, max(1, math.ceil(math.log(max(n, 1) / leaf_size, 8))) + 3)
+
+
 def accepts(policy: str, theta: float) -> Column:
     """Multipole acceptance of node columns (half, d, off): cell size over distance, or from the centre of mass with its offset."""
     if policy == "geometric":
@@ -59,40 +65,50 @@ def accepts(policy: str, theta: float) -> Column:
     return 2 * F.col("half") / theta + F.col("off") < F.col("d")
 
 
-def tree_acceleration(targets: DataFrame, points: DataFrame, nodes: DataFrame, box: float, depth: int, g: float, theta: float = 0.6, policy: str = "geometric") -> DataFrame:
-    """(target, ax, ay, az, n_nodes, n_points): level-by-level join of targets with nodes.
+def tree_acceleration(targets: DataFrame, points: DataFrame, nodes: DataFrame, box: float, depth: int, g: float, theta: float = 0.6, policy: str = "geometric", group_size: int = LEAF_SIZE) -> DataFrame:
+    """(target, ax, ay, az, n_nodes, n_points): a walk of groups of neighbouring targets down the tree, level by level.
 
-    Pairs that the acceptance test rejects go on to the node's children; rejected leaves meet their points directly. The
-    softening of a pair is the larger one, and a node inside the softening is never accepted.
+    A group is the targets in one cell of the curve, as small as holds about ``group_size`` points. It takes a node if every place in its bounding box may, so
+    the test is at least as strict as that of each target. Rejected nodes go on to their children; rejected leaves meet the targets with their
+    points. The softening of a pair is the larger one, and a node inside the softening is never accepted. The nodes of a level
+    with at most 8^4 cells are broadcast, so the walk has no join on few keys; a crowded group is cut in pieces.
     """
     scratch = Scratch(targets.sparkSession, "treewalk")
     nodes = scratch.write(nodes)
-    keyed = scratch.write(points.withColumn("prefix", morton.interleave(*[F.least(F.floor(F.col(c) / box * 2**depth), F.lit(2**depth - 1)).cast("long") for c in AXES], depth)))
-    front = targets.select("target", *[F.col(c).alias(f"t{c}") for c in AXES], F.col("eps").alias("teps"), F.lit(0).cast("long").alias("prefix"))
-    parts = []
+    key = lambda: morton.interleave(*[F.least(F.floor(F.col(c) / box * 2**depth), F.lit(2**depth - 1)).cast("long") for c in AXES], depth)
+    keyed = scratch.write(points.withColumn("prefix", key()))
+    aimed = scratch.write(targets.withColumn("prefix", key()))
+    coarse = min(depth, max(0, math.ceil(math.log(max(keyed.count(), 1) / group_size, 8))))
+    aimed = aimed.select("target", *[F.col(c).alias(f"t{c}") for c in AXES], F.col("eps").alias("teps"), F.shiftright("prefix", 3 * (depth - coarse)).alias("group"))
+    low, high = ({c: f(f"t{c}") for c in AXES} for f in (F.min, F.max))
+    groups = scratch.write(aimed.groupBy("group").agg(
+        *[((low[c] + high[c]) / 2).alias(f"g{c}") for c in AXES], (F.sqrt(sum((high[c] - low[c]) ** 2 for c in AXES)) / 2).alias("reach"), F.max("teps").alias("geps"), F.count("*").alias("n_targets"),
+    ))
+    front = groups.select("group", *[f"g{c}" for c in AXES], "reach", "geps", F.lit(0).cast("long").alias("prefix"))
+    taken, close = [], []
     for level in range(depth + 1):
-        here = front.join(nodes.where(F.col("level") == level), "prefix")
+        here = nodes.where(F.col("level") == level)
+        here = front.join(F.broadcast(here) if level <= 4 else here, "prefix")  # at most 8^4 nodes
         com = {c: F.col(f"s{c}") / F.col("mass") for c in AXES}
-        d = {c: com[c] - F.col(f"t{c}") for c in AXES}
-        here = here.withColumns({"d": F.sqrt(sum(d[c] * d[c] for c in AXES)), "off": F.sqrt(sum((com[c] - F.col(f"c{c}")) ** 2 for c in AXES)), "eps": F.greatest("teps", "eps_max")})
-        here = here.withColumn("taken", accepts(policy, theta) & (F.col("d") > F.col("eps") + F.col("half") * math.sqrt(3.0)))
-        here = scratch.write(here)
-        near = here.where("taken")
-        inverse = softened_inverse_cube(F.col("d") ** 2, F.col("eps"))
-        parts.append(near.select("target", *[(g * F.col("mass") * (F.col(f"s{c}") / F.col("mass") - F.col(f"t{c}")) * inverse).alias(f"a{c}") for c in AXES], F.lit(1).alias("k"), F.lit(0).alias("p")))
-        leaves = here.where("NOT taken AND is_leaf").select("target", "tx", "ty", "tz", "teps", F.col("prefix").alias("leaf"))
-        inside = keyed.withColumn("leaf", F.shiftright("prefix", 3 * (depth - level))).select("leaf", "item", *AXES, "mass", F.col("eps").alias("peps"))
-        pairs = leaves.join(inside, "leaf").where(F.col("item") != F.col("target"))
-        r2 = sum((F.col(c) - F.col(f"t{c}")) ** 2 for c in AXES)
-        pull = softened_inverse_cube(r2, F.greatest("teps", "peps"))
-        parts.append(pairs.select("target", *[(g * F.col("mass") * (F.col(c) - F.col(f"t{c}")) * pull).alias(f"a{c}") for c in AXES], F.lit(0).alias("k"), F.lit(1).alias("p")))
-        front = here.where("NOT taken AND NOT is_leaf").select("target", "tx", "ty", "tz", "teps", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("octant"), "prefix").select(
-            "target", "tx", "ty", "tz", "teps", F.shiftleft("prefix", 3).bitwiseOR(F.col("octant").cast("long")).alias("prefix")
+        here = here.withColumns({"d": F.sqrt(sum((com[c] - F.col(f"g{c}")) ** 2 for c in AXES)) - F.col("reach"), "off": F.sqrt(sum((com[c] - F.col(f"c{c}")) ** 2 for c in AXES))})
+        here = scratch.write(here.withColumn("taken", accepts(policy, theta) & (F.col("d") > F.greatest("geps", "eps_max") + F.col("half") * math.sqrt(3.0))))
+        taken.append(here.where("taken").select("group", "mass", *[com[c].alias(f"m{c}") for c in AXES], F.col("eps_max").alias("eps")))
+        close.append(here.where("NOT taken AND is_leaf").select("group", F.col("prefix").alias("leaf"), F.lit(level).alias("level")))
+        front = here.where("NOT taken AND NOT is_leaf").select("group", *[f"g{c}" for c in AXES], "reach", "geps", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("octant"), "prefix").select(
+            "group", *[f"g{c}" for c in AXES], "reach", "geps", F.shiftleft("prefix", 3).bitwiseOR(F.col("octant").cast("long")).alias("prefix")
         )
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
-    return total.groupBy("target").agg(*[F.sum(f"a{c}").alias(f"a{c}") for c in AXES], F.sum("k").alias("n_nodes"), F.sum("p").alias("n_points"))
+    leaves = nodes.where("is_leaf").select("level", F.col("prefix").alias("leaf"))
+    levels = [r[0] for r in leaves.select("level").distinct().collect()]  # at most depth + 1 numbers
+    inside = [keyed.select(F.lit(v).alias("level"), F.shiftright("prefix", 3 * (depth - v)).alias("leaf"), "item", *[F.col(c).alias(f"m{c}") for c in AXES], "mass", "eps") for v in levels]
+    held = reduce(DataFrame.unionByName, inside).join(leaves, ["level", "leaf"], "left_semi")
+    near = reduce(DataFrame.unionByName, close).join(held, ["level", "leaf"]).drop("level", "leaf")
+    sources = reduce(DataFrame.unionByName, taken).withColumn("item", F.lit(None).cast("long")).unionByName(near)
+    heavy = heavy_values(groups, "group", counted="n_targets")
+    pairs = salted_join(aimed, sources, "group", ["target"], heavy).where(F.col("item").isNull() | (F.col("item") != F.col("target")))
+    d = {c: F.col(f"m{c}") - F.col(f"t{c}") for c in AXES}
+    pull = g * F.col("mass") * softened_inverse_cube(sum(d[c] * d[c] for c in AXES), F.greatest("teps", "eps"))
+    found = pairs.select("target", *[(pull * d[c]).alias(f"a{c}") for c in AXES], F.col("item").isNull().cast("int").alias("k"))
+    return found.groupBy("target").agg(*[F.sum(f"a{c}").alias(f"a{c}") for c in AXES], F.sum("k").alias("n_nodes"), F.sum(1 - F.col("k")).alias("n_points"))
 
 
 def direct_acceleration(targets: DataFrame, points: DataFrame, g: float, blocks: int = 64) -> DataFrame:
@@ -111,53 +127,36 @@ def mesh_density(particles: DataFrame, n: int, box: float, scheme: str = "cic")
 
 
 def poisson_periodic(density: DataFrame, n: int, box: float, g: float, split: float = 0.0, deconvolve: int = 0) -> DataFrame:
-    """(ix, iy, iz, phi, fx, fy, fz) of the periodic Poisson equation: one transform of a mesh of bounded size in one task."""
-    if n > MAX_MESH:
-        raise ValueError(f"the mesh is limited to {MAX_MESH} cells per axis")
-    ship(density.sparkSession)
-
-    def solve(cells: pd.DataFrame) -> pd.DataFrame:
-        rho = np.zeros((n, n, n))
-        rho[cells["ix"], cells["iy"], cells["iz"]] = cells["density"]
-        modes = np.fft.fftn(rho - rho.mean())
-        k = 2 * np.pi / box * np.fft.fftfreq(n, 1.0 / n)
-        kx, ky, kz = np.meshgrid(k, k, k, indexing="ij")
-        k2 = kx**2 + ky**2 + kz**2
-        k2[0, 0, 0] = 1.0
-        green = -4 * np.pi * g / k2 * np.exp(-k2 * split**2)
+    """(ix, iy, iz, phi, fx, fy, fz) of the periodic Poisson equation, by transforms over planes and lines. Points without a row are empty."""
+    k = 2 * np.pi / box * np.fft.fftfreq(n, 1.0 / n)
+    # the Nyquist planes have no sign, so their gradient is zero
+    kk = np.where(np.abs(np.fft.fftfreq(n, 1.0 / n)) == n / 2, 0.0, k)
+    s = np.sinc(np.fft.fftfreq(n))
+
+    def solve(modes: list[np.ndarray], nx: int) -> list[np.ndarray]:
+        k2 = k[nx] ** 2 + k[:, None] ** 2 + k[None, :] ** 2
+        green = -4 * np.pi * g / np.where(k2 > 0, k2, 1.0) * np.exp(-k2 * split**2)
         if deconvolve:
-            s = np.sinc(np.fft.fftfreq(n))
-            green = green / np.maximum((s[:, None, None] * s[None, :, None] * s[None, None, :]) ** (2 * deconvolve), 1e-12)
-        green[0, 0, 0] = 0.0
-        phi = modes * green
-        # the Nyquist planes have no sign, so their gradient is zero
-        kk = np.where(np.abs(np.fft.fftfreq(n, 1.0 / n)) == n / 2, 0.0, k)
-        f = [np.fft.ifftn(-1j * a * phi).real for a in np.meshgrid(kk, kk, kk, indexing="ij")]
-        i = np.indices((n, n, n)).reshape(3, -1)
-        return pd.DataFrame({"ix": i[0], "iy": i[1], "iz": i[2], "phi": np.fft.ifftn(phi).real.ravel(), "fx": f[0].ravel(), "fy": f[1].ravel(), "fz": f[2].ravel()})
+            green = green / np.maximum((s[nx] * s[:, None] * s[None, :]) ** (2 * deconvolve), 1e-12)
+        phi = modes[0] * np.where(k2 > 0, green, 0.0)
+        return [phi, -1j * kk[nx] * phi, -1j * kk[:, None] * phi, -1j * kk[None, :] * phi]
 
-    return density.groupBy().applyInPandas(solve, "ix int, iy int, iz int, phi double, fx double, fy double, fz double")
+    return filtered(density, n, ["density"], ["phi", "fx", "fy", "fz"], solve)
 
 
 def poisson_isolated(density: DataFrame, n: int, box: float, g: float) -> DataFrame:
     """The isolated potential on a mesh padded to twice its size, kernel −1/r (0 at r = 0), forces by differences, one-sided at the edges."""
-    if n > MAX_MESH // 2:
-        raise ValueError(f"the padded mesh is limited to {MAX_MESH} cells per axis")
-    ship(density.sparkSession)
-
-    def solve(cells: pd.DataFrame) -> pd.DataFrame:
-        h = box / n
-        rho = np.zeros((2 * n,) * 3)
-        rho[cells["ix"], cells["iy"], cells["iz"]] = cells["density"]
-        d = np.minimum(np.arange(2 * n), 2 * n - np.arange(2 * n)) * h
-        r = np.sqrt(d[:, None, None] ** 2 + d[None, :, None] ** 2 + d[None, None, :] ** 2)
-        kernel = np.where(r > 0, -1 / np.where(r > 0, r, 1.0), 0.0)
-        phi = np.fft.ifftn(np.fft.fftn(rho) * np.fft.fftn(kernel)).real[:n, :n, :n] * g * h**3
-        f = [-x for x in np.gradient(phi, h, edge_order=2)]
-        i = np.indices((n, n, n)).reshape(3, -1)
-        return pd.DataFrame({"ix": i[0], "iy": i[1], "iz": i[2], "phi": phi.ravel(), "fx": f[0].ravel(), "fy": f[1].ravel(), "fz": f[2].ravel()})
-
-    return density.groupBy().applyInPandas(solve, "ix int, iy int, iz int, phi double, fx double, fy double, fz double")
+    h = box / n
+    away = lambda c: F.least(F.col(c), 2 * n - F.col(c)) * h
+    r = F.sqrt(sum(away(c) ** 2 for c in ("ix", "iy", "iz")))
+    padded = dense(density.select("ix", "iy", "iz", "density"), 2 * n, F.when(r > 0, -1 / r).otherwise(0.0), "kernel")
+    phi = Scratch(density.sparkSession, "isolated").write(filtered(padded, 2 * n, ["density", "kernel"], ["phi"], lambda m, _: [m[0] * m[1] * g * h**3], n))
+    for c in ("ix", "iy", "iz"):
+        w = Window.partitionBy(*[o for o in ("ix", "iy", "iz") if o != c]).orderBy(c)  # one line of the mesh
+        at = lambda d: (F.lead if d > 0 else F.lag)("phi", abs(d)).over(w)  # noqa: B023, E731
+        slope = F.when(F.col(c) == 0, (-3 * F.col("phi") + 4 * at(1) - at(2)) / (2 * h)).when(F.col(c) == n - 1, (3 * F.col("phi") - 4 * at(-1) + at(-2)) / (2 * h)).otherwise((at(1) - at(-1)) / (2 * h))
+        phi = phi.withColumn(f"f{c[1]}", -slope)
+    return phi
 
 
 def interpolate_mesh(points: DataFrame, mesh: DataFrame, n: int, box: float, values: tuple[str, ...] = ("fx", "fy", "fz")) -> DataFrame:

@@ -1,36 +1,26 @@
-"""Matter power spectrum: mass on a mesh in the cluster, one transform of the small dense mesh, shells in the cluster."""
+"""Matter power spectrum: mass on a mesh, its transform by planes and lines, shells."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nebulith.operators.base import dense_bins, finite
 from nebulith.operators.diagnostics import mass_on_grid
-from nebulith.runtime import ship
+from nebulith.operators.mesh_fft import forward
 
-MAX_MESH = 128  # a mesh of 128³ complex values is 34 MB; larger ones would not fit one task's memory
 FLOOR = 1e-24
 
 
 def density_modes(grid: DataFrame, n: int) -> DataFrame:
-    """(nx, ny, nz, re, im) of sum(δ exp(-2πi …)) / n³ from (ix, iy, iz, mass): numpy in one task, the mesh's size being bounded."""
-    if n > MAX_MESH:
-        raise ValueError(f"the mesh is limited to {MAX_MESH} cells per axis")
-    ship(grid.sparkSession)
-
-    def transform(cells: pd.DataFrame) -> pd.DataFrame:
-        mesh = np.zeros((n, n, n))
-        mesh[cells["ix"], cells["iy"], cells["iz"]] = cells["mass"]
-        modes = np.fft.fftn(mesh / mesh.mean() - 1.0) / n**3
-        i = np.indices((n, n, n)).reshape(3, -1)
-        return pd.DataFrame({"nx": i[0], "ny": i[1], "nz": i[2], "re": modes.real.ravel(), "im": modes.imag.ravel()})
-
-    return grid.groupBy().applyInPandas(transform, "nx int, ny int, nz int, re double, im double")
+    """(nx, ny, nz, re, im) of sum(δ exp(-2πi …)) / n³ from (ix, iy, iz, mass). Points without a row hold no mass."""
+    total = grid.agg(F.sum("mass").alias("total"))
+    modes = forward(grid.join(F.broadcast(total), F.lit(True)).withColumn("mass", F.col("mass") / F.col("total")), n, "mass")  # total: one row
+    # the mean's own transform is 1 at the zero mode only
+    zero = (F.col("nx") == 0) & (F.col("ny") == 0) & (F.col("nz") == 0)
+    return modes.withColumn("re", F.when(zero, F.col("re") - 1).otherwise(F.col("re")))
 
 
 def direct_modes(grid: DataFrame, n: int) -> DataFrame:
