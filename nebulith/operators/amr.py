@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,24 @@ def refine_cells(cells: DataFrame, extensive: tuple[str, ...], production: bool
     return wide.withColumns(moved | {e: F.col(e) / 8 for e in extensive} | {"parent_key": F.col("key"), "key": child, "width": F.col("width") / 2, "level": F.col("level") + 1})
 
 
+def refine_production(cells: DataFrame, chosen: Column, free_ids: DataFrame, extensive: tuple[str, ...], ident: str = "gas_cell_id") -> DataFrame:
+    """The rows that ``chosen`` keeps out stay, the others are removed and their children take their place.
+
+    A child has the production key parent · 8 + octant + 1 and an id of its own from ``free_ids(id)``, dealt in order of the keys. A
+    list with fewer ids than children, or with an id in use, is an error at run time. Rows that stay have no key and no parent.
+    """
+    from nebulith.operators.skew import stitched
+
+    marked = cells.withColumn("_chosen", F.coalesce(chosen, F.lit(False)))
+    stay = marked.where("NOT _chosen").drop("_chosen").withColumns({"key": F.lit(None).cast("long"), "parent_key": F.lit(None).cast("long"), "octant": F.lit(None).cast("int")})
+    children = refine_cells(marked.where("_chosen").drop("_chosen").withColumn("key", F.col(ident).cast("long")), extensive, production=True).withColumn("_all", F.lit(0))
+    used = cells.select(F.col(ident).alias("id"), F.lit(True).alias("_used"))
+    seeds = stitched(free_ids.select("id").distinct().withColumn("_all", F.lit(0)), ["_all"], ["id"]).join(used, "id", "left")
+    dealt = stitched(children, ["_all"], ["key"]).join(seeds.select(F.col("id").alias("_id"), "_used", "_rn"), "_rn", "left")
+    fresh = F.when(F.col("_id").isNull() | F.col("_used"), F.raise_error(F.lit("free ids are missing or in use")).cast("long")).otherwise(F.col("_id"))
+    return stay.unionByName(dealt.withColumn(ident, fresh).drop("_rn", "_id", "_used", "_all"))
+
+
 def derefine_cells(children: DataFrame, extensive: tuple[str, ...]) -> DataFrame:
     """Children summed into their parents; a parent with fewer than eight is not restored."""
     sums = children.groupBy("parent_key").agg(
@@ -79,6 +99,20 @@ def temporal_ghost(start: Column, end: Column, t0: Column, t1: Column, t: Column
     return F.coalesce(inside, F.when(start.isNotNull() & end.isNotNull() & part.isNotNull(), F.raise_error(F.lit("ghost time outside its interval")).cast("double")))
 
 
+def temporal_ghosts(start: DataFrame, end: DataFrame, patches: DataFrame, time: Column, values: tuple[str, ...], key: str = "key", patch: str = "patch_id") -> DataFrame:
+    """(key, patch, values) at ``time`` between the states of two times, each (key, patch, t, fingerprint, generation, values).
+
+    ``patches(patch, fingerprint, generation)`` is the mesh as it is now: a state taken of a patch whose geometry or whose cells' identities
+    have changed since is an error at run time, as is a time outside the interval. Cells of only one of both states have no ghost.
+    """
+    side = lambda df, s: df.select(key, patch, *[F.col(c).alias(f"_{c}{s}") for c in ("t", "fingerprint", "generation", *values)])
+    j = side(start, 0).join(side(end, 1).drop(patch), key).join(patches.select(patch, "fingerprint", "generation"), patch, "left")
+    stale = ~reduce(Column.__and__, [F.col(f"_{c}{s}").eqNullSafe(F.col(c)) for c in ("fingerprint", "generation") for s in (0, 1)])
+    error = lambda text: F.raise_error(F.concat(F.lit(text), F.col(patch))).cast("double")
+    new = {v: F.when(stale, error("stale ghost history of patch ")).otherwise(temporal_ghost(F.col(f"_{v}0"), F.col(f"_{v}1"), F.col("_t0"), F.col("_t1"), time)) for v in values}
+    return j.select(key, patch, *[c.alias(v) for v, c in new.items()])
+
+
 def ghost_sources(ghosts: DataFrame, cells: DataFrame, value: str) -> DataFrame:
     """Value for each ghost from its source cell, else the mean of its source patch's cells, else from its owner: left joins and a priority.
 

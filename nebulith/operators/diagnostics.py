@@ -155,6 +155,19 @@ def state_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("digest"))
 
 
+def portable_digest(df: DataFrame, columns: list[str], *by: str, digits: int = 6) -> DataFrame:
+    """(by, digest, n): an order-independent digest that any engine can compute: the exclusive or of 60 bits of the MD5 of each row's values,
+    joined by "|". Floats count in whole steps of 10^-digits; null and values that aren't finite have texts of their own."""
+    def text(c: str) -> Column:
+        if dict(df.dtypes)[c] not in ("double", "float"):
+            return F.coalesce(F.col(c).cast("string"), F.lit("null"))
+        steps = F.floor(F.col(c) * F.lit(float(10**digits))).cast("long").cast("string")
+        return F.when(F.col(c).isNull(), "null").when(finite(c), steps).otherwise("nan")
+
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *[text(c) for c in columns]).cast("binary")), 1, 15), 16, 10).cast("long")
+    return df.withColumn("_bits", bits).groupBy(*by).agg(F.bit_xor("_bits").alias("digest"), F.count("*").alias("n"))
+
+
 def identity_summary(df: DataFrame, ident: str) -> DataFrame:
     """Count, sum of ids and of their squares modulo 2^64, exclusive or, and whether all ids differ."""
     wide = F.col(ident).cast("decimal(20,0)")

@@ -78,7 +78,7 @@ def tree_acceleration(targets: DataFrame, points: DataFrame, nodes: DataFrame, b
     key = lambda: morton.interleave(*[F.least(F.floor(F.col(c) / box * 2**depth), F.lit(2**depth - 1)).cast("long") for c in AXES], depth)
     keyed = scratch.write(points.withColumn("prefix", key()))
     aimed = scratch.write(targets.withColumn("prefix", key()))
-    coarse = min(depth, max(0, math.ceil(math.log(max(keyed.count(), 1) / group_size, 8))))
+    coarse = min(depth, max(0, round(math.log(max(keyed.count(), 1) / group_size, 8))))
     aimed = aimed.select("target", *[F.col(c).alias(f"t{c}") for c in AXES], F.col("eps").alias("teps"), F.shiftright("prefix", 3 * (depth - coarse)).alias("group"))
     low, high = ({c: f(f"t{c}") for c in AXES} for f in (F.min, F.max))
     groups = scratch.write(aimed.groupBy("group").agg(

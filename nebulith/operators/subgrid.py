@@ -103,6 +103,17 @@ def star_formation_commit(plan: DataFrame, tick: int) -> tuple[DataFrame, DataFr
 
 # --- cooling ------------------------------------------------------------------------------------------------
 
+def birth_order(plan: DataFrame, ident: str = "gas_cell_id") -> DataFrame:
+    """Adds ``place``, from 0, in order of ``ident``: a stitched rank. A cell that comes twice is an error at run time; rows without an id are left out."""
+    from nebulith.operators.skew import stitched
+
+    named = plan.where(F.col(ident).isNotNull()).withColumn("_all", F.lit(0))
+    run = stitched(named, ["_all"], [ident], lags={"_before": ident})
+    twice = F.col("_before").eqNullSafe(F.col(ident))
+    place = F.when(twice, F.raise_error(F.concat(F.lit("a birth plan names twice the cell "), F.col(ident))).cast("long")).otherwise(F.col("_rn") - 1)
+    return run.withColumn("place", place).drop("_rn", "_before", "_all")
+
+
 def cool(cells: DataFrame, dt: float, fraction: float = 0.1, most: int = 64, floor: float = 1e-6, kelvin_per_energy: float = 1e4, unit: float = 1.0, redshift: float = 0.0, metal_rows: list[tuple[float, float]] | None = None) -> DataFrame:
     """Explicit subcycles, each of at most ``fraction`` of the cooling time, until ``dt`` or ``most`` of them: (energy, subcycles, hit_limit).
 

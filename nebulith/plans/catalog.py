@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nebulith.operators.base import finite
 from nebulith.runtime import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +53,14 @@ def query(name: str, sql: str | None = None):
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
     """Sums of doubles rounded, since the order of addition differs between runs."""
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+def stated(df: DataFrame, *columns: str) -> DataFrame:
+    """Each float column beside ``<column>_state``: value, null or not_finite. Where it is no finite number the column itself is null, so that no reader
+    of the result mixes them up (NaN has several bit patterns, and not every engine takes all of them for NaN)."""
+    state = lambda c: F.when(F.col(c).isNull(), "null").when(finite(c), "value").otherwise("not_finite")
+    return df.withColumns({f"{c}_state": state(c) for c in columns}).withColumns({c: F.when(F.col(f"{c}_state") == "value", F.col(c)) for c in columns})
+
+
+def stated_sql(*columns: str) -> str:
+    return ", ".join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c}, CASE WHEN {c} IS NULL THEN 'null' WHEN isfinite({c}) THEN 'value' ELSE 'not_finite' END AS {c}_state" for c in columns)

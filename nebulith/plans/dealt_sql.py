@@ -67,6 +67,8 @@ si AS (SELECT num.reading_id, particle_id, quantity, number * CASE WHEN own THEN
 
 SQL = {
     "p1_found": _SI + "SELECT particle_id, quantity FROM si WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY ALL HAVING max(v) - min(v) > 0.01 * greatest(abs(max(v)), abs(min(v)))",
+    "p1_values": _SI.replace("SELECT num.reading_id,", "SELECT num.reading_id, CASE WHEN own THEN 'text' WHEN uf.base IS NOT NULL THEN 'named' WHEN factor IS NOT NULL THEN 'factor' END AS how,")
+    + "SELECT reading_id, particle_id, quantity, v AS si_value, CASE WHEN v IS NULL THEN 'review' ELSE how END AS origin, CAST(NULL AS DOUBLE) AS confidence FROM si",
     "p2_found": f"""
 WITH a AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM particles), b AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM particles_replica),
 j AS (SELECT coalesce(a.particle_id, b.particle_id) AS particle_id, CASE WHEN a.particle_id IS NULL THEN ['missing_in_particles'] WHEN b.particle_id IS NULL THEN ['missing_in_replica'] ELSE

@@ -146,10 +146,13 @@ def ag27(t):
     return patch_decision(t.current_cells.where(D.finite("mass")), F.col("mass") > 0.012, F.col("mass") < 0.010)
 
 
-@query("ag31_state_digest")
+_MICRO = lambda c: f"CASE WHEN {c} IS NULL THEN 'null' WHEN isfinite({c}) THEN CAST(CAST(floor({c} * 1e6) AS BIGINT) AS VARCHAR) ELSE 'nan' END"
+
+
+@query("ag31_state_digest", f"SELECT bit_xor(CAST(('0x' || substr(md5('' || particle_id || '|' || {_MICRO('x')} || '|' || {_MICRO('y')} || '|' || {_MICRO('z')} || '|' || {_MICRO('mass')}), 1, 15)) AS BIGINT)) AS digest, count(*) AS n FROM {CP}")
 def ag31(t):
-    """Digest of the particle state; the hash function is the engine's own, so no SQL twin."""
-    return D.state_digest(t.current_particles, ["particle_id", "x", "y", "z", "mass"])
+    """Digest of the particle state in whole millionths, so that other engines get the same."""
+    return D.portable_digest(t.current_particles, ["particle_id", "x", "y", "z", "mass"])
 
 
 @query("ag32_rank_reduce", f"SELECT owning_rank, count(*) AS n, max(particle_id) AS max_id, bit_xor(particle_id) AS id_xor, sum(time_bin) AS bin_sum FROM {CP} GROUP BY owning_rank")

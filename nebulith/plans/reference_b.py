@@ -9,7 +9,7 @@ from nebulith.functions import morton
 from nebulith.operators import decomposition as P
 from nebulith.operators import state as S
 from nebulith.operators.base import finite
-from nebulith.plans.catalog import CC, CG, CP, CT, query, rounded
+from nebulith.plans.catalog import CC, CG, CP, CT, query, rounded, stated, stated_sql
 from nebulith.plans.frames import ITEMS_SQL, items
 
 BOX = 100.0
@@ -75,14 +75,6 @@ def _largest_gap(w):
     return rounded(per.select("snap_step", F.greatest(F.coalesce("inner", F.lit(0.0)), F.col("lo") + BOX - F.col("hi")).alias("gap")), gap=9)
 
 
-@query("so05_largest_gap", f"""
-WITH w AS (SELECT snap_step, x - 100 * floor(x / 100) AS x FROM {CP} WHERE isfinite(x) AND species_tag = 3), g AS (SELECT snap_step, x, coalesce(lead(x) OVER (PARTITION BY snap_step ORDER BY x), 100 + first_value(x) OVER (PARTITION BY snap_step ORDER BY x)) - x AS gap FROM w)
-SELECT snap_step, round(max(gap), 9) AS gap FROM g GROUP BY snap_step""")
-def so05(t):
-    """Largest gap between neighbours on a periodic axis, of black holes only. so05_largest_gap_all has that of all particles."""
-    return _largest_gap(t.current_particles.where(finite("x") & (F.col("species_tag") == 3)).select("snap_step", S.periodic_wrap(F.col("x"), BOX).alias("x")))
-
-
 @query("so05_largest_gap_all", f"""
 WITH v AS (SELECT snap_step, x - 100 * floor(x / 100) AS x FROM {CP} WHERE isfinite(x)), w AS (SELECT snap_step, CASE WHEN x >= 100 THEN 0 ELSE x END AS x FROM v),
 g AS (SELECT snap_step, x, coalesce(lead(x) OVER (PARTITION BY snap_step ORDER BY x), 100 + first_value(x) OVER (PARTITION BY snap_step ORDER BY x)) - x AS gap FROM w)
@@ -181,9 +173,13 @@ def se07(t):
     return P.neighbour_plan(t.amr_ghosts.select("ghost_id", "patch_id", "source_patch_id").distinct(), "patch_id", "source_patch_id", "ghost_id")
 
 
-@query("se08_rebalance_intents")
+@query("se08_rebalance_intents", f"""
+WITH RECURSIVE {_ITEMS}, s AS (SELECT *, sum(load) OVER (ORDER BY key, item ROWS UNBOUNDED PRECEDING) AS cum, sum(load) OVER () AS total FROM ki), k AS (SELECT item, CAST(owner AS INT) AS old, CAST(least(floor((cum - load) * 24 / total), 23) AS INT) AS rank, load FROM s),
+c AS (SELECT *, row_number() OVER (ORDER BY item) AS rn FROM k WHERE old >= 0 AND old <> rank),
+r AS (SELECT rn, load AS used FROM c WHERE rn = 1 UNION ALL SELECT min(c.rn) AS rn, any_value(r.used) + arg_min(c.load, c.rn) AS used FROM r JOIN c ON c.rn > r.rn AND c.load <= 3000 - r.used GROUP BY r.rn)
+SELECT item, old, rank, load FROM c SEMI JOIN r USING (rn)""")
 def se08(t):
-    """Particles that change owner under a cap on the moved load; a sequential rule, checked against a fold in the tests."""
+    """Particles that change owner under a cap on the moved load: a sequential rule. (The SQL's ranks hold while no item weighs more than a rank's target.)"""
     cut = P.curve_cuts(_keyed(t), 24).withColumn("old", F.col("owner").cast("int"))
     return P.rebalance_intents(cut, "old", "rank", 3000.0)
 
@@ -208,10 +204,10 @@ def st03(t):
     return t.current_particles.where("removed_step IS NULL").select("particle_id", "snap_step")
 
 
-@query("st05_active_view", f"SELECT particle_id, x, y, z, mass FROM {CP} WHERE 8 % (1 << time_bin) = 0")
+@query("st05_active_view", f"SELECT particle_id, {stated_sql('x', 'y', 'z', 'mass')} FROM {CP} WHERE 8 % (1 << time_bin) = 0")
 def st05(t):
     """Lanes of the particles active at tick 8."""
-    return t.current_particles.where(F.lit(8) % F.expr("shiftleft(1, time_bin)") == 0).select("particle_id", "x", "y", "z", "mass")
+    return stated(t.current_particles.where(F.lit(8) % F.expr("shiftleft(1, time_bin)") == 0).select("particle_id", "x", "y", "z", "mass"), "x", "y", "z", "mass")
 
 
 @query("st06_active_cells", f"SELECT gas_cell_id, density, pressure FROM {CC} WHERE 8 % (1 << time_bin) = 0")

@@ -85,10 +85,16 @@ def gr06(t):
     return G.poisson_periodic(G.mesh_density(_points(t), 64, BOX), 64, BOX, NEWTON)
 
 
-@query("gr07_poisson_isolated")
+def _isolated_sql() -> str:
+    from nebulith.plans.reference_k import isolated_sql
+
+    return isolated_sql(16)
+
+
+@query("gr07_poisson_isolated", _isolated_sql())
 def gr07(t):
-    """Isolated potential on a 16³ mesh."""
-    return G.poisson_isolated(G.mesh_density(_points(t), 16, BOX), 16, BOX, NEWTON)
+    """Isolated potential and its forces on a 16³ mesh. (The SQL sums over all pairs of mesh points.)"""
+    return rounded(G.poisson_isolated(G.mesh_density(_points(t), 16, BOX), 16, BOX, NEWTON), phi=5, fx=5, fy=5, fz=5)
 
 
 @query("gr08_mesh_gather", f"""WITH {_P}, m AS (SELECT CAST(i // 64 AS INT) AS ix, CAST((i // 8) % 8 AS INT) AS iy, CAST(i % 8 AS INT) AS iz, sin(i) AS fx FROM range(512) r(i)), o AS (SELECT unnest([0, 1]) AS o), f AS (SELECT item, x / 100 * 8 AS x, y / 100 * 8 AS y, z / 100 * 8 AS z FROM p)
@@ -298,12 +304,19 @@ def am07(t):
     return rounded(A.merge_pending(coarse, rows, ("mass", "energy")), mass=8, energy=8)
 
 
-@query("am08_temporal_ghosts", f"SELECT gas_cell_id, round(density + (pressure - density) * ((gas_cell_id % 11) / 10.0), 8) AS value FROM {CC} WHERE isfinite(density) AND isfinite(pressure)")
+_HIST = f"h AS (SELECT patch_id, snap_step, avg(density) AS d, avg(density * vx) AS mx FROM {CC} WHERE isfinite(density) AND isfinite(vx) AND patch_id IS NOT NULL GROUP BY 1, 2)"
+
+
+@query("am08_temporal_ghosts", f"WITH {_HIST}, b AS (SELECT patch_id, min(snap_step) AS t0, max(snap_step) AS t1, arg_min(d, snap_step) AS d0, arg_max(d, snap_step) AS d1, arg_min(mx, snap_step) AS m0, arg_max(mx, snap_step) AS m1 FROM h GROUP BY 1 HAVING count(*) > 1) SELECT patch_id, round(d0 + (d1 - d0) * 0.25, 8) AS d, round(m0 + (m1 - m0) * 0.25, 6) AS mx FROM b")
 def am08(t):
-    """States between two times, ends included."""
-    c = t.current_cells.where(finite("density", "pressure"))
-    v = A.temporal_ghost(F.col("density"), F.col("pressure"), F.lit(0.0), F.lit(1.0), (F.col("gas_cell_id") % 11) / 10.0)
-    return rounded(c.select("gas_cell_id", v.alias("value")), value=8)
+    """Conserved states of the patches a quarter of the way from their first to their last snapshot, after the guards against a stale history."""
+    c = t.current_cells.where(finite("density", "vx") & F.col("patch_id").isNotNull())
+    state = c.groupBy("patch_id", "snap_step").agg(F.avg("density").alias("d"), F.avg(F.col("density") * F.col("vx")).alias("mx"))
+    ends = state.groupBy("patch_id").agg(F.min("snap_step").alias("first"), F.max("snap_step").alias("last")).where("first < last")
+    now = A.fingerprint(t.current_cells.where("patch_id IS NOT NULL"), "patch_id", ["gas_cell_id"]).select("patch_id", F.col("digest").alias("fingerprint"), F.col("n").alias("generation"))
+    at = lambda c: state.join(ends, "patch_id").where(F.col("snap_step") == F.col(c)).join(now, "patch_id").select(F.col("patch_id").alias("key"), "patch_id", F.col("snap_step").cast("double").alias("t"), "fingerprint", "generation", "d", "mx")
+    ghosts = A.temporal_ghosts(at("first"), at("last"), now, F.col("_t0") + 0.25 * (F.col("_t1") - F.col("_t0")), ("d", "mx"))
+    return rounded(ghosts.select("patch_id", "d", "mx"), d=8, mx=6)
 
 
 @query("jn08_ghost_sources", f"""WITH g AS (SELECT * FROM {CG}), c AS (SELECT gas_cell_id, patch_id, CASE WHEN NOT isnan(density) THEN density END AS d FROM {CC}), pa AS (SELECT patch_id, avg(d) AS m FROM c WHERE d IS NOT NULL GROUP BY 1)
@@ -326,7 +339,13 @@ def am15(t):
     return A.axis_layout(t.current_cells, "cx")
 
 
-@query("am16_fingerprint")
+_MICRO = lambda c: f"CASE WHEN {c} IS NULL THEN 'null' WHEN isfinite({c}) THEN CAST(CAST(floor({c} * 1e6) AS BIGINT) AS VARCHAR) ELSE 'nan' END"
+_HASH = "CAST(('0x' || substr(md5({text}), 1, 15)) AS BIGINT)"
+
+
+@query("am16_fingerprint", f"SELECT patch_id, bit_xor({_HASH.format(text=chr(39) + chr(39) + ' || gas_cell_id || ' + ' || '.join(chr(39) + '|' + chr(39) + ' || ' + _MICRO(c) for c in ('cx', 'cy', 'cz')))}) AS digest, count(*) AS n FROM {CC} GROUP BY patch_id")
 def am16(t):
-    """Geometry digest per patch, in the engine's own hash domain."""
-    return A.fingerprint(t.current_cells, "patch_id", ["gas_cell_id", "cx", "cy", "cz"])
+    """Geometry digest per patch in whole millionths of a length, so that other engines get the same."""
+    from nebulith.operators.diagnostics import portable_digest
+
+    return portable_digest(t.current_cells, ["gas_cell_id", "cx", "cy", "cz"], "patch_id")

@@ -222,10 +222,18 @@ def ph17(t):
     return rounded(up.groupBy("state").agg(F.count("*").alias("n"), F.sum("exchanged").alias("exchanged")), exchanged=7)
 
 
-@query("ph18_velocity_gradient")
+def _gradient_sql() -> str:
+    from nebulith.plans.reference_e import _GRID
+
+    near = {a: [" AND ".join(f"{s}.{c} = (s.{c} + {d}) % 8" if i == a else f"{s}.{c} = s.{c}" for i, c in enumerate(("ix", "iy", "iz"))) for s, d in ((f"l{a}", 7), (f"h{a}", 1))] for a in range(3)}
+    joins = " ".join(f"JOIN s l{a} ON {near[a][0]} JOIN s h{a} ON {near[a][1]}" for a in range(3))
+    return f"WITH {_GRID} SELECT s.ix, s.iy, s.iz, {', '.join(f'round((h{a}.{v} - l{a}.{v}) / 25, 9) AS g_{v}{c}' for a, c in enumerate('xyz') for v in 'uvw')} FROM s {joins}"
+
+
+@query("ph18_velocity_gradient", _gradient_sql())
 def ph18(t):
-    """Velocity gradient on a periodic grid; a linear field is tested."""
-    return G.velocity_gradient(grid_state(t.current_particles, 8, BOX), 8, 12.5)
+    """Velocity gradient on a periodic grid."""
+    return rounded(G.velocity_gradient(grid_state(t.current_particles, 8, BOX), 8, 12.5), **{f"g_{v}{c}": 9 for v in "uvw" for c in "xyz"})
 
 
 def _elements(t):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nebulith.operators.base import finite
-from nebulith.plans.catalog import CC, CP, query, rounded
+from nebulith.plans.catalog import CC, CP, query, rounded, stated, stated_sql
 from nebulith.runtime import Scratch
 from nebulith.sources import products as R
 from nebulith.sources import snapshots as S
@@ -93,10 +93,10 @@ def _written(t):
     return path
 
 
-@query("io16_snapshot_round_trip", f"SELECT particle_id, species_tag, x, vx, mass, [1, 0, 4, 5, 3][species_tag + 1] AS part_type FROM {CP}")
+@query("io16_snapshot_round_trip", f"SELECT particle_id, species_tag, {stated_sql('x', 'vx', 'mass')}, [1, 0, 4, 5, 3][species_tag + 1] AS part_type FROM {CP}")
 def io16(t):
     """A snapshot written by part type, published, verified and read back."""
-    return S.read_snapshot(t.spark, _written(t), verify=True).select("particle_id", "species_tag", "x", "vx", "mass", "part_type")
+    return stated(S.read_snapshot(t.spark, _written(t), verify=True).select("particle_id", "species_tag", "x", "vx", "mass", "part_type"), "x", "vx", "mass")
 
 
 @query("io17_mass_table", f"SELECT particle_id, coalesce(mass, CASE species_tag WHEN 0 THEN 0.0371 WHEN 2 THEN 0.002 END) AS mass FROM {CP}")
@@ -192,8 +192,12 @@ def stream2(t):
     return twins.run_to_end(twins.reconcile_stream(e), "complete", "reconcile")
 
 
-@query("stream_transitions")
+@query("stream_transitions", """
+WITH RECURSIVE e AS (SELECT user_id AS element, event_id AS tick, CAST(floor(abs(value)) AS INT) % 5 AS wanted, row_number() OVER (PARTITION BY user_id ORDER BY event_id, CAST(floor(abs(value)) AS INT) % 5) AS rn FROM events),
+r AS (SELECT DISTINCT element, 0 AS tick, 0 AS rn, 0 AS old_bin, 0 AS new_bin FROM e
+ UNION ALL SELECT e.element, e.tick, e.rn, r.new_bin, CASE WHEN wanted < r.new_bin OR wanted > r.new_bin AND e.tick % (1 << wanted) = 0 THEN wanted ELSE r.new_bin END FROM r JOIN e ON e.element = r.element AND e.rn = r.rn + 1)
+SELECT element, tick, CAST(old_bin AS INT) AS old_bin, CAST(new_bin AS INT) AS new_bin FROM r WHERE old_bin <> new_bin""")
 def stream3(t):
-    """Bin transitions with the bin as state; sequential, so the tests fold them by hand."""
+    """Bin transitions with the bin as state, applied in order of tick."""
     e = twins.read_stream(t.spark, f"{t.d}/events.parquet").select(F.col("user_id").alias("element"), F.col("event_id").alias("tick"), F.pmod(F.floor(F.abs("value")).cast("int"), F.lit(5)).alias("wanted"))
     return twins.run_to_end(twins.transition_stream(e), "append", "transitions")

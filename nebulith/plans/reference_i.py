@@ -105,10 +105,13 @@ def so06(t):
     return t.current_particles.where(finite("mass")).select("particle_id", "mass").orderBy(F.desc("mass"), "particle_id").limit(50)
 
 
-@query("so07_birth_order", "SELECT gas_cell_id, count(*) AS n FROM cells GROUP BY 1 HAVING count(*) > 1")
+@query("so07_birth_order", f"SELECT gas_cell_id, row_number() OVER (ORDER BY gas_cell_id) - 1 AS place FROM {CC} WHERE isfinite(density) AND density > 1")
 def so07(t):
-    """Cells that a birth plan would name twice, which is an error there."""
-    return t.cells.groupBy("gas_cell_id").agg(F.count("*").alias("n")).where("n > 1")
+    """Dense cells in the order of their births; a cell that comes twice in a plan is an error."""
+    from nebulith.operators.subgrid import birth_order
+
+    plan = t.current_cells.where(finite("density") & (F.col("density") > 1)).select("gas_cell_id")
+    return birth_order(plan).select("gas_cell_id", F.col("place").cast("long").alias("place"))
 
 
 @query("se04_patch_migration", f"""WITH p AS (SELECT patch_id, count(*) AS n FROM {CC} WHERE patch_id IS NOT NULL GROUP BY 1)
@@ -130,12 +133,18 @@ def ag29(t):
     return out
 
 
-@query("gr09_potential_gather")
+def _potential_sql() -> str:
+    from nebulith.plans.reference_k import gathered_sql
+
+    return gathered_sql(16, ("phi",), 5)
+
+
+@query("gr09_potential_gather", _potential_sql())
 def gr09(t):
-    """The mesh potential at the particles; the transform has no SQL."""
+    """The mesh potential at the particles."""
     p = t.current_particles.where(finite("x", "y", "z", "mass")).select(F.col("particle_id").alias("item"), *[(F.col(c) - 100 * F.floor(F.col(c) / 100)).alias(c) for c in "xyz"], "mass")
     mesh = Scratch(t.spark, "potential").write(gravity.poisson_periodic(gravity.mesh_density(p, 16, 100.0), 16, 100.0, 43.0))
-    return gravity.interpolate_mesh(p, mesh, 16, 100.0, ("phi",))
+    return rounded(gravity.interpolate_mesh(p, mesh, 16, 100.0, ("phi",)), phi=5)
 
 
 @query("am13_conserved_rows", f"SELECT gas_cell_id, patch_id, round(density * vx, 7) AS mx, round(density * (internal_energy + 0.5 * (vx * vx + vy * vy + vz * vz)), 4) AS e FROM {CC} WHERE isfinite(density) AND isfinite(vx) AND isfinite(vy) AND isfinite(vz) AND isfinite(internal_energy)")
@@ -146,8 +155,17 @@ def am13(t):
     return rounded(c.select("gas_cell_id", "patch_id", (F.col("density") * F.col("vx")).alias("mx"), e.alias("e")), mx=7, e=4)
 
 
-@query("am02_production_keys", f"SELECT gas_cell_id * 8 + o + 1 AS key, gas_cell_id AS parent_key FROM {CC}, range(8) r(o) WHERE isfinite(mass) AND isfinite(cx)")
+_SPLIT = "isfinite(mass) AND isfinite(cx) AND isfinite(cy) AND isfinite(cz)"
+
+
+@query("am02_production_refine", f"""WITH c AS (SELECT gas_cell_id, patch_id, cx, mass FROM {CC} WHERE {_SPLIT}), s AS (SELECT * FROM c WHERE coalesce(patch_id % 3 = 0, false)),
+k AS (SELECT gas_cell_id * 8 + o + 1 AS key, gas_cell_id AS parent_key, mass / 8 AS mass, cx + ((o & 1) - 0.5) * 0.5 AS cx, row_number() OVER (ORDER BY gas_cell_id * 8 + o + 1) AS rn FROM s, range(8) r(o)),
+seed AS (SELECT (SELECT max(gas_cell_id) FROM c) + 1 + i AS id, row_number() OVER (ORDER BY i) AS rn FROM range((SELECT 8 * count(*) FROM s)) r(i))
+SELECT gas_cell_id, CAST(NULL AS BIGINT) AS key, CAST(NULL AS BIGINT) AS parent_key, cx, mass FROM c ANTI JOIN s USING (gas_cell_id) UNION ALL SELECT id, key, parent_key, cx, mass FROM k JOIN seed USING (rn)""")
 def am02p(t):
-    """Child keys of the production form."""
-    c = t.current_cells.where(finite("mass", "cx")).select(F.col("gas_cell_id").alias("key"), "cx", "cy", "cz", "mass", F.lit(1.0).alias("width"), F.lit(0).alias("level"))
-    return amr.refine_cells(c, ("mass",), production=True).select("key", "parent_key")
+    """Cells of chosen patches replaced by children of the production form, whose ids come from a list of free ones."""
+    c = t.current_cells.where(finite("mass", "cx", "cy", "cz")).select("gas_cell_id", "patch_id", "cx", "cy", "cz", "mass", F.lit(1.0).alias("width"), F.lit(0).alias("level"))
+    chosen = F.coalesce(F.col("patch_id") % 3 == 0, F.lit(False))
+    last, n = c.agg(F.max("gas_cell_id"), F.sum(F.when(chosen, 8).otherwise(0))).first()
+    free = t.spark.range(n or 0).select((F.col("id") + F.lit((last or 0) + 1)).alias("id"))
+    return amr.refine_production(c, chosen, free, ("mass",)).select("gas_cell_id", "key", "parent_key", "cx", "mass")

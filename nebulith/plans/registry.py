@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nebulith.plans import catalog, dealt, dealt_sql, reference_a, reference_b, reference_c, reference_d, reference_e, reference_f, reference_g, reference_h, reference_i, reference_j  # noqa: F401  (the modules register their queries)
+from nebulith.plans import catalog, dealt, dealt_sql, reference_a, reference_b, reference_c, reference_d, reference_e, reference_f, reference_g, reference_h, reference_i, reference_j, reference_k  # noqa: F401  (the modules register their queries)
 
 
 def queries() -> dict:

@@ -5,6 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from enum import Enum
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from nebulith.runtime import ship
+
 
 class ConfigError(ValueError):
     pass
@@ -18,6 +24,16 @@ class Boundary(Enum):
     PERIODIC, OPEN, REFLECTIVE = "periodic", "open", "reflective"
 
 
+class FillStatus(Enum):
+    FILLED, STALE, UNFILLED = "filled", "stale", "unfilled_physical_boundary"
+
+
+def enum_column(kind: type[Enum], text: Column) -> Column:
+    """``parse_enum`` of a column: the canonical text; null stays null and an unknown one is an error at run time."""
+    clean = F.lower(F.trim(text))
+    return F.when(clean.isin([m.value for m in kind]) | text.isNull(), clean).otherwise(F.raise_error(F.concat(text, F.lit(f" is none of {', '.join(m.value for m in kind)}"))).cast("string"))
+
+
 def parse_enum(kind: type[Enum], text: str) -> Enum:
     """An enum by its text, whatever the case; an unknown one is an error that names the choices."""
     for member in kind:
@@ -79,6 +95,31 @@ def fnv1a(text: str) -> int:
     return h
 
 
+def fnv1a_column(text: Column) -> Column:
+    """``fnv1a`` of a column as decimal text, in Arrow batches: the engine has no unsigned 64-bit product."""
+    ship()
+    return F.pandas_udf(_fnv1a_batch, "string")(text)
+
+
+def _fnv1a_batch(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else str(fnv1a(t)))
+
+
+def escape_column(text: Column) -> Column:
+    for plain, coded in (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(coded))
+    return text
+
+
+def unescape_column(text: Column) -> Column:
+    """The inverse of ``escape_column`` for texts it made: doubled backslashes are set aside while the marks are turned back."""
+    aside = "\ue000"
+    out = F.replace(text, F.lit("\\\\"), F.lit(aside))
+    for plain, coded in (("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r"), ("\\", aside)):
+        out = F.replace(out, F.lit(coded), F.lit(plain))
+    return out
+
+
 def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("\n", "\\n").replace("\t", "\\t").replace("\r", "\\r")
 
