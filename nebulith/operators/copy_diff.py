@@ -35,6 +35,13 @@ def compared_columns(left: DataFrame, right: DataFrame, key: str, ignore: tuple[
     return [c for c in left.columns if c.lower() in theirs and c.lower() not in skip]
 
 
+def column_sides(left: DataFrame, right: DataFrame, left_name: str = "left", right_name: str = "right") -> DataFrame:
+    """(column_name, side): each column with the table that has it, or ``both``; letter case doesn't matter. Columns of one side can't be compared."""
+    ours, theirs = ({c.lower(): c for c in df.columns} for df in (left, right))
+    rows = [(ours.get(c) or theirs[c], "both" if c in ours and c in theirs else left_name if c in ours else right_name) for c in sorted({*ours, *theirs})]
+    return left.sparkSession.createDataFrame(rows, "column_name string, side string")
+
+
 def _leaf_checksums(df: DataFrame, key: str, columns: list[str], leaf_bits: int) -> DataFrame:
     """(leaf, rows, two 64-bit checksums); a row sent twice counts once.
 
@@ -81,6 +88,7 @@ def mismatched_leaves(
         suspects = scratch.write(both.where(~same).select("node"))
         if suspects.isEmpty():  # nothing below differs either
             break
+    scratch.drop_but(suspects)
     return suspects, scratch
 
 
@@ -96,7 +104,7 @@ def compare_copies(
 ) -> DataFrame:
     """(key, diff): ``missing_in_<side>`` or the name of a column whose values differ.
 
-    ``key`` is an integer column. Columns of only one side are not compared. Defined cases:
+    ``key`` is an integer column. Columns of only one side are not compared; ``column_sides`` names them. Defined cases:
     a row sent twice with equal values is no difference; of copies of one key that contradict
     each other, the largest value of each column is compared; a row with a null key names no
     record and is left out; an empty side makes all rows of the other missing; two empty

@@ -17,9 +17,13 @@ NO_REFERENCE = (0, 4294967295)  # fixed marks, besides null
 
 
 def parent_intervals(df: DataFrame, kind: str, key: str, removed: str = "removed_step", seen: str = "ingested_at") -> DataFrame:
-    """One validity interval per key; copies of a row are reduced before the shuffle."""
+    """One validity interval per key, the merge of those of its rows; copies of a row are reduced before the shuffle.
+
+    Every row of a key is valid until its removal. So a parent that was removed and came back is valid until the last removal, and without
+    end if a row of it was never removed.
+    """
     return df.where(F.col(key).isNotNull()).groupBy(F.concat_ws(":", F.lit(kind), F.col(key)).alias("target")).agg(
-        F.count("*").alias("copies"), F.min(removed).alias("removed_at"), F.min(seen).alias("first_seen")
+        F.count("*").alias("copies"), F.when(F.count(removed) == F.count("*"), F.max(removed)).alias("removed_at"), F.min(seen).alias("first_seen")
     )
 
 
@@ -35,8 +39,8 @@ def reference_states(refs: list[DataFrame], parents: list[DataFrame]) -> DataFra
     """Every reference with ``state``: missing, deleted, late or valid.
 
     deleted: the target's removed_step is at or before the referring step. late: it exists, but
-    arrived after the referring row. A parent key with contradicting copies counts
-    from its first arrival and as removed from its earliest removal. Empty tables give no rows.
+    arrived after the referring row. A parent key with contradicting rows counts
+    from its first arrival and as removed from the last removal, if all its rows were removed. Empty tables give no rows.
     """
     joined = salted_left_join(
         reduce(DataFrame.unionByName, refs), reduce(DataFrame.unionByName, parents), "target", "ref_id"

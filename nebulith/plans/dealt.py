@@ -40,6 +40,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Which of both copies has each column."""
+    return copy_diff.column_sides(read_table(spark, d, "particles"), read_table(spark, d, "particles_replica"), "particles", "replica")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of particles of one snapshot at most 0.05 apart in the periodic box."""
     pairs = near_pairs.near_pairs(read_table(spark, d, "particles"), "particle_id", ("x", "y", "z"), "snap_step", 0.05, BOX)
@@ -125,5 +130,5 @@ def p7_casts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_values, p1_hidden_units, p2_found, p3_found, p5_found, p5_report, p6_found, p6_cell_results, p6_cell_masses, p6_slab_widths, p7_found, p7_lifespans, p7_casts, p7_consistent)
+    for f in (p1_found, p1_values, p1_hidden_units, p2_found, p2_columns, p3_found, p5_found, p5_report, p6_found, p6_cell_results, p6_cell_masses, p6_slab_widths, p7_found, p7_lifespans, p7_casts, p7_consistent)
 }

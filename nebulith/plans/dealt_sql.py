@@ -6,9 +6,9 @@ from nebulith.functions.unit_text import SPELLINGS
 
 _REF = """
 WITH target AS (
-  SELECT 'particle' AS kind, particle_id AS k, min(removed_step) AS removed_at, min(ingested_at) AS first_seen FROM particles GROUP BY particle_id
+  SELECT 'particle' AS kind, particle_id AS k, CASE WHEN count(removed_step) = count(*) THEN max(removed_step) END AS removed_at, min(ingested_at) AS first_seen FROM particles GROUP BY particle_id
   UNION ALL
-  SELECT 'cell', gas_cell_id, min(removed_step), min(ingested_at) FROM cells GROUP BY gas_cell_id),
+  SELECT 'cell', gas_cell_id, CASE WHEN count(removed_step) = count(*) THEN max(removed_step) END, min(ingested_at) FROM cells GROUP BY gas_cell_id),
 ref AS (
   SELECT 'tracers' AS ref_table, 'tracer_parent' AS ref_field, particle_id AS ref_id, snap_step, 'particle' AS kind, tracer_parent AS k, ingested_at FROM tracers
   UNION ALL SELECT 'tracers', 'tracer_host', particle_id, snap_step, 'cell', tracer_host, ingested_at FROM tracers
@@ -75,6 +75,7 @@ j AS (SELECT coalesce(a.particle_id, b.particle_id) AS particle_id, CASE WHEN a.
  list_filter([{", ".join(f"CASE WHEN NOT {_SAME.format(c=c)} THEN '{c}' END" for c in _DIFF_COLUMNS)}], lambda v: v IS NOT NULL) END AS diffs
  FROM a FULL JOIN b ON a.particle_id = b.particle_id)
 SELECT DISTINCT particle_id, unnest(diffs) AS diff FROM j""",
+    "p2_columns": "SELECT coalesce(a.column_name, b.column_name) AS column_name, CASE WHEN b.column_name IS NULL THEN 'particles' WHEN a.column_name IS NULL THEN 'replica' ELSE 'both' END AS side FROM (DESCRIBE particles) a FULL JOIN (DESCRIBE particles_replica) b ON a.column_name = b.column_name",
     "p3_found": """
 WITH p AS (SELECT DISTINCT particle_id, snap_step, x - 100 * floor(x / 100) AS x, y - 100 * floor(y / 100) AS y, z - 100 * floor(z / 100) AS z
            FROM particles WHERE isfinite(x) AND isfinite(y) AND isfinite(z)),

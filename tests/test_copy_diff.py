@@ -67,3 +67,10 @@ def test_any_tables(spark, x, y):
     a, b = [(k, v, 0.0, None, 0) for k, v in x.items()], [(k, v, 0.0, None, 0) for k, v in y.items()]
     got = rows(compare_copies(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), "id", ("ingested_at",)))
     assert got == brute(a, b)
+
+
+def test_columns_of_one_side_are_named(spark):
+    from nebulith.operators.copy_diff import column_sides
+
+    a, b = spark.createDataFrame([], "id long, Mass double, rank int"), spark.createDataFrame([], "id long, mass double, note string")
+    assert sorted(tuple(r) for r in column_sides(a, b, "a", "b").collect()) == [("Mass", "both"), ("id", "both"), ("note", "b"), ("rank", "a")]

@@ -107,6 +107,12 @@ def test_reference_states(spark):
     assert rep == {10: (5, 1, 1, 1), None: (1, 0, 0, 0)}
 
 
+def test_parent_that_came_back(spark):
+    refs = [(i, step, 100 + i % 2, 5, "", "") for i, step in enumerate((9, 9, 12, 12, 25, 25))]
+    parents = [(100, 10, 1), (100, 20, 2), (101, 10, 1), (101, None, 2)]
+    assert {(r["ref_id"], r["state"]) for r in states(spark, refs, parents).collect()} == {(0, "valid"), (1, "valid"), (2, "valid"), (3, "valid"), (4, "deleted"), (5, "valid")}
+
+
 def test_reference_empty_tables(spark):
     assert states(spark, [], []).count() == 0
     assert [r["state"] for r in states(spark, [(1, 1, 5, 1, "", "")], []).collect()] == ["missing"]
