@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from nebulith.runtime import Scratch
 
 BLOCK_DOCS = 20_000  # texts that fly in one task call
-RESERVE = 200  # decided texts that a block passes on with its undecided ones, to land with
+RESERVE = 200  # decided texts that a block passes on with its undecided ones, to land with, ...
+RESERVE_SHARE = 0.1  # ... and at most this share of the block, so that every level is smaller than the one before
 _DONE = 1e-9
 
 
@@ -88,7 +89,7 @@ def _fly_group(level: int, seed: int):
         pi = fly(group["pi"].tolist(), group["n_tokens"].astype(float).tolist(), key, land)
         carry = [0.0 < p < 1.0 for p in pi]
         if any(carry):
-            for i in random.Random(key).sample(range(len(pi)), min(RESERVE, len(pi))):
+            for i in random.Random(key).sample(range(len(pi)), min(RESERVE, int(len(pi) * RESERVE_SHARE))):
                 carry[i] = True
         return group.assign(pi=pi, carry=carry)[["doc_id", "source", "n_tokens", "whole", "pi", "carry"]]
 

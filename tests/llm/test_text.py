@@ -193,6 +193,14 @@ def test_mix_reaches_shares(spark, block):
     assert m.groupBy("doc_id").count().where("count > 1").count() == 0
 
 
+def test_blocks_smaller_than_the_reserve_still_shrink():
+    import pandas as pd
+
+    group = pd.DataFrame({"doc_id": range(150), "source": "a", "n_tokens": [7 * i % 90 + 1 for i in range(150)], "whole": 0, "pi": 0.4, "block": 0, "blocks": 9})
+    out = mixing._fly_group(0, 3)(group)
+    assert 0 < out.carry.sum() <= 17 and out.pi[~out.carry].isin([0.0, 1.0]).all()
+
+
 def test_mix_without_supply(spark):
     targets = {"a": (0.5, 1), "b": (0.5, 2)}
     only_a = spark.createDataFrame([(1, "a", 10), (2, "a", 0), (3, None, 5)], "doc_id long, source string, n_tokens long")
