@@ -5,6 +5,8 @@ Frames of work items have item, owner, load, memory and a curve key.
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +36,16 @@ def curve_cuts(items: DataFrame, ranks: int, key: str = "key", ident: str = "ite
     for k in range(1, active):
         reached = min((rn for j, rn in first.items() if j >= k), default=n)
         cuts.append(min(max(reached, cuts[-1] + 1 if cuts else 1), n - (active - k)))
-    before = F.aggregate(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<int>"), F.lit(0), lambda acc, c: acc + F.when(F.col("_rn") > c, 1).otherwise(0))
-    return run.select(*items.columns, before.alias("rank"))
+    # cuts in blocks of positions: a row looks at the few of its own block, the rest is a number; at most four blocks a rank
+    width = max(1, n // (4 * active))
+    blocks, base = [], 0
+    for k in range(n // width + 1):
+        end = bisect.bisect_left(cuts, (k + 1) * width, base)
+        blocks.append((k, base, cuts[base:end]))
+        base = end
+    table = items.sparkSession.createDataFrame(blocks, "_block long, _base int, _cuts array<long>")
+    placed = run.withColumn("_block", F.floor(F.col("_rn") / width)).join(F.broadcast(table), "_block")
+    return placed.select(*items.columns, (F.col("_base") + F.size(F.filter("_cuts", lambda c: F.col("_rn") > c))).alias("rank"))
 
 
 def load_metrics(items: DataFrame, rank: str, ranks: int, load: str = "load", memory: str = "memory") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nebulith.operators.base import finite
+from nebulith.runtime import Scratch
 
 
 def nearest_cells(points: DataFrame, cells: DataFrame, k: int, box: float, step: str | None = None) -> DataFrame:
@@ -16,8 +17,6 @@ def nearest_cells(points: DataFrame, cells: DataFrame, k: int, box: float, step:
     Cells are bucketed on a grid fine enough for a few per bucket. Each point looks at rings of buckets that are widened, for
     the points that need it, until the k-th distance lies within the searched shell, so the result is exact.
     """
-    from nebulith.runtime import Scratch
-
     scratch = Scratch(points.sparkSession, "nearest")
     keys = [step] if step else []
     pts = scratch.write(points.where(finite("x", "y", "z")))
@@ -27,7 +26,7 @@ def nearest_cells(points: DataFrame, cells: DataFrame, k: int, box: float, step:
     if not total:
         return pts.select(*keys, "star").limit(0).withColumns({"cell": F.lit(0).cast("long"), "d2": F.lit(0.0), "rank": F.lit(0)})
     span = max(hi - lo, 1e-12)
-    side = max(1, min(64, int((total / groups / max(k, 1)) ** (1 / 3))))
+    side = max(1, int((total / groups / max(k, 1)) ** (1 / 3)))  # about k cells per bucket, however many there are
     width = span / side
     bucket = lambda c: F.least(F.greatest(F.floor((F.col(c) - lo) / width), F.lit(0)), F.lit(side - 1)).cast("int")
     held = src.select(*keys, F.col("cell"), "cx", "cy", "cz", bucket("cx").alias("bx"), bucket("cy").alias("by"), bucket("cz").alias("bz"))
@@ -39,14 +38,16 @@ def nearest_cells(points: DataFrame, cells: DataFrame, k: int, box: float, step:
             around = around.withColumn(f"b{c}", F.explode(F.sequence(F.greatest(F.col(f"p{c}") - ring, F.lit(0)), F.least(F.col(f"p{c}") + ring, F.lit(side - 1)))))
         d2 = sum((F.col(c) - F.col(f"c{c}")) ** 2 for c in "xyz")
         pairs = around.join(held, [*keys, "bx", "by", "bz"]).select(*keys, "star", "x", "y", "z", "px", "py", "pz", "cell", d2.alias("d2"))
-        ranked = pairs.withColumns({"rank": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(*keys, "star"))}).where(F.col("rank") <= k)
+        ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # cut to k in every task before the shuffle
         # distance from the point to the nearest face of the searched block, infinite on sides where the block reaches the edge
         gaps = []
         for c in "xyz":
             gaps.append(F.when(F.col(f"p{c}") - ring <= 0, float("inf")).otherwise(F.col(c) - (lo + (F.col(f"p{c}") - ring) * width)))
             gaps.append(F.when(F.col(f"p{c}") + ring >= side - 1, float("inf")).otherwise(lo + (F.col(f"p{c}") + ring + 1) * width - F.col(c)))
         reach = F.least(*gaps)
-        found = scratch.write(ranked.withColumn("reach", reach).withColumn("kth", F.max("d2").over(Window.partitionBy(*keys, "star"))).withColumn("enough", (F.col("kth") <= F.col("reach") ** 2) & (F.col("n") >= k) | (F.col("reach") == float("inf"))))
+        mine = Window.partitionBy(*keys, "star")
+        found = ranked.withColumn("reach", reach).withColumns({"kth": F.max("d2").over(mine), "n": F.max("rank").over(mine)})
+        found = scratch.write(found.withColumn("enough", (F.col("kth") <= F.col("reach") ** 2) & (F.col("n") >= k) | (F.col("reach") == float("inf"))))
         done.append(found.where("enough").select(*keys, "star", "cell", "d2", "rank"))
         todo = scratch.write(todo.join(found.where("enough").select(*keys, "star").distinct(), [*keys, "star"], "left_anti"))
         if ring >= side or todo.isEmpty():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -165,40 +166,64 @@ class Accretion:
     duty_ratio: float = 0.01
 
 
+_HOLE = ["bh", "host", "bh_mass", "mdot", "edd_ratio", "energy", "active_time", "vx", "vy", "vz", "gas_mass", "gas_metals", "gas_energy"]
+
+
+def _accreted(r: dict, gas, rho, metals, energy, cfg: Accretion, dt: float) -> tuple[dict, tuple]:
+    """What holes ``r`` (numbers or arrays) draw from cells in the given state: their new rows and the cells' new state."""
+    mass = np.maximum(r["bh_mass"], 1e-30)
+    v2 = sum((r[f"v{c}"] - r[f"gv{c}"]) ** 2 for c in "xyz")
+    bondi = cfg.alpha * 4 * math.pi * cfg.g**2 * mass**2 * np.maximum(rho, 1e-20) / np.maximum(r["sound_speed"] ** 2 + v2, 1e-40) ** 1.5
+    limit = 4 * math.pi * cfg.g * mass * cfg.proton / (cfg.efficiency * cfg.thomson * cfg.light)
+    got = np.minimum(np.maximum((np.minimum(bondi, limit) if cfg.capped else bondi) * dt, 0.0), np.maximum(gas - 1e-30, 0.0))
+    rate = got / dt
+    power = cfg.feedback * cfg.efficiency * rate * cfg.light**2 * dt
+    left = gas - got
+    keep = np.where(gas > 0, left / np.where(gas > 0, gas, 1.0), 1.0)
+    gas, rho, metals = left, rho * keep, metals * keep
+    energy = np.where(gas > 1e-30, energy + power * cfg.coupling / np.where(gas > 1e-30, gas, 1.0), energy)
+    ratio = rate / np.maximum(limit, 1e-30)
+    new = r["bh_mass"] + got
+    moved = (got > 0) & (new > 0)
+    velocity = {f"v{c}": np.where(moved, (r["bh_mass"] * r[f"v{c}"] + got * r[f"gv{c}"]) / np.where(moved, new, 1.0), r[f"v{c}"]) for c in "xyz"}
+    rows = {"bh_mass": new, "mdot": rate, "edd_ratio": ratio, "energy": power, "active_time": np.where(ratio >= cfg.duty_ratio, dt, 0.0), **velocity, "gas_mass": gas, "gas_metals": metals, "gas_energy": energy}
+    return rows, (gas, rho, metals, energy)
+
+
 def accrete(holes: DataFrame, cells: DataFrame, cfg: Accretion, dt: float) -> DataFrame:
     """(bh, host, bh_mass, mdot, edd_ratio, energy, active_time, gas_mass, gas_metals, gas_energy) after a step.
 
-    Black holes that share a cell act one after the other in order of id, each seeing what the one before left, so a
-    cell's holes are one ordered group. The gas columns are the cell's state after that hole.
+    Black holes that share a cell act one after the other in order of id, each seeing what the one before left. Rows
+    stream sorted by (host, id): cells with one hole are worked on as whole arrays, only those with more hole by hole, and what is
+    held of a cell is its state, however many holes it has. The gas columns are the cell's state after that hole.
     """
     ship(holes.sparkSession)
     joined = holes.join(cells, "host")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("bh", kind="stable")
-        gas, rho, metals, energy = (float(group[c].iloc[0]) for c in ("gas_mass", "density", "metal_mass", "internal_energy"))
-        cs, gv = float(group["sound_speed"].iloc[0]), [float(group[c].iloc[0]) for c in ("gvx", "gvy", "gvz")]
-        out = []
-        for r in group.itertuples(index=False):
-            mass = max(r.bh_mass, 1e-30)
-            v2 = sum((a - b) ** 2 for a, b in zip((r.vx, r.vy, r.vz), gv))
-            bondi = cfg.alpha * 4 * math.pi * cfg.g**2 * mass**2 * max(rho, 1e-20) / max(cs * cs + v2, 1e-40) ** 1.5
-            limit = 4 * math.pi * cfg.g * mass * cfg.proton / (cfg.efficiency * cfg.thomson * cfg.light)
-            got = min(max((min(bondi, limit) if cfg.capped else bondi) * dt, 0.0), max(gas - 1e-30, 0.0))
-            rate = got / dt
-            power = cfg.feedback * cfg.efficiency * rate * cfg.light**2 * dt
-            left = gas - got
-            keep = left / gas if gas > 0 else 1.0
-            gas, rho, metals = left, rho * keep, metals * keep
-            if gas > 1e-30:
-                energy += power * cfg.coupling / gas
-            ratio = rate / max(limit, 1e-30)
-            new = r.bh_mass + got
-            vel = [(r.bh_mass * a + got * b) / new if got > 0 and new > 0 else a for a, b in zip((r.vx, r.vy, r.vz), gv)]
-            out.append((r.bh, r.host, new, rate, ratio, power, dt if ratio >= cfg.duty_ratio else 0.0, *vel, gas, metals, energy))
-        return pd.DataFrame(out, columns=["bh", "host", "bh_mass", "mdot", "edd_ratio", "energy", "active_time", "vx", "vy", "vz", "gas_mass", "gas_metals", "gas_energy"])
-
-    return joined.groupBy("host").applyInPandas(run, "bh long, host long, bh_mass double, mdot double, edd_ratio double, energy double, active_time double, vx double, vy double, vz double, gas_mass double, gas_metals double, gas_energy double")
+    numbers = ["bh_mass", "sound_speed", *[f"{p}v{c}" for p in ("", "g") for c in "xyz"]]
+    gas_columns = ["gas_mass", "density", "metal_mass", "internal_energy"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, state = None, None  # the last host of the batch before and its state
+        for batch in batches:
+            n, host = len(batch), batch["host"].to_numpy()
+            if not n:
+                continue
+            r = {c: batch[c].to_numpy(float) for c in numbers}
+            gas = [batch[c].to_numpy(float) for c in gas_columns]
+            new = np.concatenate([[before is None or host[0] != before], host[1:] != host[:-1]])
+            single = new & np.concatenate([new[1:], [False]])  # the last row's host may go on in the next batch
+            rows, _ = _accreted(r, *gas, cfg, dt)
+            for i in np.flatnonzero(~single):
+                if new[i]:
+                    state = tuple(g[i] for g in gas)
+                one, state = _accreted({c: v[i] for c, v in r.items()}, *state, cfg, dt)
+                for c, v in one.items():
+                    rows[c][i] = v
+            before = host[-1]
+            yield pd.DataFrame({"bh": batch["bh"].to_numpy(), "host": host, **rows})[_HOLE]
+
+    ordered = joined.select("bh", "host", *numbers, *gas_columns).repartition("host").sortWithinPartitions("host", "bh")
+    return ordered.mapInPandas(run, "bh long, host long, bh_mass double, mdot double, edd_ratio double, energy double, active_time double, vx double, vy double, vz double, gas_mass double, gas_metals double, gas_energy double")
 
 
 def seed_candidates(cells: DataFrame, holes: DataFrame, halo_mass: float, seed_mass: float, most: int = 1) -> DataFrame:

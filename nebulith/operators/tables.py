@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Age in years and, per unit of initial mass: returned fraction, metal fraction, energy (fixed values, a published simple table).
+from nebulith.operators.skew import stitched
+
+#: Age in years and, per unit of initial mass: returned fraction, metal fraction, energy (fixed values of the survey's fixture F22).
 SSP_ROWS = [
     (0.0, 0.0, 0.0, 0.0), (3.0e6, 0.02, 0.001, 1.0e46), (1.0e7, 0.10, 0.004, 6.0e48), (1.0e8, 0.18, 0.008, 1.0e49),
     (1.0e9, 0.28, 0.013, 1.6e49), (5.0e9, 0.34, 0.017, 1.9e49), (1.4e10, 0.40, 0.021, 2.1e49),
@@ -34,14 +36,22 @@ def interpolate(table: list[tuple[float, ...]], value: Column, column: int, log_
 
 
 def interpolate_join(points: DataFrame, table: DataFrame, x: str, tx: str, ty: str, out: str) -> DataFrame:
-    """The same for tables of any size: intervals by ``lead`` and a range join on them, values clamped to the ends."""
-    w = Window.orderBy(tx)  # the table is a lookup table of few rows
-    ends = table.agg(F.min(tx).alias("_lo"), F.max(tx).alias("_hi"))
-    spans = table.select(F.col(tx).alias("_x0"), F.col(ty).alias("_y0"), F.lead(tx).over(w).alias("_x1"), F.lead(ty).over(w).alias("_y1")).where("_x1 IS NOT NULL")
-    at = points.join(F.broadcast(ends), F.lit(True)).withColumn("_v", F.least(F.greatest(F.col(x), F.col("_lo")), F.col("_hi")))  # ends: one row
-    hit = at.join(spans, (F.col("_v") >= F.col("_x0")) & ((F.col("_v") < F.col("_x1")) | (F.col("_v") == F.col("_hi")) & (F.col("_x1") == F.col("_hi"))), "left")
+    """The same for tables of any size: intervals by a stitched lag, and an equi join on as many buckets as there are intervals.
+
+    Values are clamped to the ends; a value that is null or NaN, and an empty table, give null. An interval lies in the buckets it touches, so all
+    intervals together have at most twice as many rows as buckets; where a table is denser than elsewhere, its buckets hold more intervals.
+    """
+    rows = table.select(F.col(tx).cast("double").alias("_x1"), F.col(ty).cast("double").alias("_y1"), F.lit(0).alias("_all")).where("_x1 IS NOT NULL AND NOT isnan(_x1)")
+    spans = stitched(rows, ["_all"], ["_x1"], lags={"_x0": "_x1", "_y0": "_y1"}).where("_x0 IS NOT NULL AND _x1 > _x0")
+    ends = rows.agg(F.min("_x1").alias("_lo"), F.max("_x1").alias("_hi"), F.count("*").alias("_n"))
+    bucket = lambda c: F.least(F.floor((c - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_n")), F.col("_n") - 1)
+    at = points.join(F.broadcast(ends), F.lit(True)).withColumn("_v", F.when(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")), F.least(F.greatest(F.col(x), F.col("_lo")), F.col("_hi"))))  # ends: one row
+    at = at.withColumn("_bucket", F.when(F.col("_hi") > F.col("_lo"), bucket(F.col("_v"))))
+    spread = spans.join(F.broadcast(ends), F.lit(True)).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_x0")), bucket(F.col("_x1"))))).select("_bucket", "_x0", "_y0", "_x1", "_y1")
+    inside = (at["_bucket"] == spread["_bucket"]) & (F.col("_v") >= F.col("_x0")) & ((F.col("_v") < F.col("_x1")) | (F.col("_v") == F.col("_hi")) & (F.col("_x1") == F.col("_hi")))
     value = F.col("_y0") + (F.col("_v") - F.col("_x0")) / (F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0"))
-    return hit.withColumn(out, value).drop("_lo", "_hi", "_v", "_x0", "_y0", "_x1", "_y1")
+    hit = at.join(spread, inside, "left")
+    return hit.withColumn(out, value).select(*[F.col(c) for c in points.columns if c != out], out)
 
 
 def ssp(age: Column, column: int) -> Column:

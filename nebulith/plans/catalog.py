@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nebulith.operators.base import finite
+from nebulith.operators.base import current, finite
 from nebulith.runtime import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,8 +24,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("current_"):
-            df = read_table(self.spark, self.d, name[8:])
-            return df.drop("ingested_at").dropDuplicates([self.KEYS[name[8:]]])
+            return current(read_table(self.spark, self.d, name[8:]), self.KEYS[name[8:]])
         return read_table(self.spark, self.d, name)
 
 

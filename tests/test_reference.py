@@ -294,3 +294,53 @@ def test_stages_keep_their_contracts(spark):
         run_step({"a": df}, [Stage("drift", lambda t: {"b": df}, ("a",), ("a",))])
     with pytest.raises(ValueError):
         run_step({}, [Stage("drift", dict, ("a",))])
+
+
+def test_holes_of_one_cell_act_in_order_whatever_the_batches(spark):
+    from nebulith.operators import subgrid
+
+    rng = random.Random(9)
+    hosts = [1] * 40 + [2, 3, 4] + [5] * 3 + list(range(6, 30))
+    holes = [(i, h, rng.uniform(0.5, 2.0), *(rng.uniform(-1, 1) for _ in range(3))) for i, h in enumerate(hosts)]
+    cells = [(h, rng.uniform(5, 9), rng.uniform(1, 2), 0.1, 3.0, rng.uniform(1, 2), 0.1, 0.2, 0.3) for h in set(hosts)]
+    cfg, dt = subgrid.Accretion(), 1e-4
+    want = {}
+    state = {c[0]: c[1:5] for c in cells}
+    about = {c[0]: c[5:] for c in cells}
+    for bh, h, mass, *v in sorted(holes):
+        gas, rho, metals, energy = state[h]
+        cs, *gv = about[h]
+        v2 = sum((a - b) ** 2 for a, b in zip(v, gv))
+        bondi = cfg.alpha * 4 * math.pi * cfg.g**2 * mass**2 * rho / (cs * cs + v2) ** 1.5
+        limit = 4 * math.pi * cfg.g * mass * cfg.proton / (cfg.efficiency * cfg.thomson * cfg.light)
+        got = min(bondi, limit) * dt
+        power = cfg.feedback * cfg.efficiency * got / dt * cfg.light**2 * dt
+        keep = (gas - got) / gas
+        state[h] = (gas - got, rho * keep, metals * keep, energy + power * cfg.coupling / (gas - got))
+        want[bh] = (mass + got, *state[h][:1], *state[h][2:])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = subgrid.accrete(
+            spark.createDataFrame(holes, "bh long, host long, bh_mass double, vx double, vy double, vz double"),
+            spark.createDataFrame(cells, "host long, gas_mass double, density double, metal_mass double, internal_energy double, sound_speed double, gvx double, gvy double, gvz double"), cfg, dt,
+        ).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r["bh"]: (r["bh_mass"], r["gas_mass"], r["gas_metals"], r["gas_energy"]) for r in out}
+    assert got.keys() == want.keys() and all(math.isclose(a, b, rel_tol=1e-12) for k in want for a, b in zip(got[k], want[k]))
+
+
+def test_interpolation_join_of_an_uneven_table(spark):
+    import numpy as np
+    from nebulith.operators import tables
+
+    rng = random.Random(4)
+    xs = sorted({round(rng.random() ** 6 * 1e4, 6) for _ in range(300)})
+    ys = [math.sin(x) for x in xs]
+    at = [rng.uniform(-10, 1.1e4) for _ in range(200)] + xs[:20] + [xs[-1]]
+    points = spark.createDataFrame([(i, v, 1) for i, v in enumerate(at)] + [(-1, None, 1), (-2, float("nan"), 1)], "i long, q double, tx int")
+    table = spark.createDataFrame(list(zip(xs, ys)) + [(None, 1.0)], "tx double, ty double")
+    got = {r["i"]: r["y"] for r in tables.interpolate_join(points, table, "q", "tx", "ty", "y").collect()}
+    assert len(got) == len(at) + 2 and got[-1] is None and got[-2] is None
+    assert all(math.isclose(got[i], np.interp(v, xs, ys), rel_tol=1e-9, abs_tol=1e-9) for i, v in enumerate(at))
+    assert [r["y"] for r in tables.interpolate_join(points.limit(1), table.limit(0), "q", "tx", "ty", "y").collect()] == [None]
