@@ -147,3 +147,16 @@ def pack_report(packed: DataFrame, capacities: dict[int, int], loss_share: float
         F.max(F.when(~F.col("alone"), F.col("segments"))).alias("most_segments"), F.max(F.when(~F.col("alone"), F.col("l"))).alias("most_loss"),
         share("_t").alias("full_share"), share("_s").alias("at_segments_share"), share("_l").alias("at_loss_share"), F.avg(F.col("alone").cast("double")).alias("alone_share"),
     ).withColumn("used_share", F.col("n_tokens") / (F.col("n_containers") * at(0)))
+
+
+def pack_checks(counts: DataFrame, packed: DataFrame, capacities: dict[int, int], loss_share: float = LOSS_SHARE) -> DataFrame:
+    """(spec_id, n_texts, all_placed, none_split, limits_kept) of a packing of ``counts``: texts found in it; whether each has all its tokens
+    and loss-bearing tokens, whether none that fits is in parts, and whether no shared container passes a limit."""
+    at = lambda i: F.create_map(*[F.lit(x) for s, c in sorted(capacities.items()) for x in (s, limits_of(c, loss_share)[i])])[F.col("spec_id")]
+    texts = packed.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("t"), F.sum("n_loss").alias("l"), F.count("*").alias("parts")).join(counts, "doc_id", "left")
+    per_text = texts.groupBy("spec_id").agg(
+        F.count("*").alias("n_texts"), F.bool_and(F.coalesce((F.col("t") == F.col("n_tokens")) & (F.col("l") == F.col("n_loss")), F.lit(False))).alias("all_placed"), F.bool_and((F.col("parts") == 1) | (F.col("t") > at(0))).alias("none_split"),
+    )
+    boxes = packed.where(F.col("container_id").isNotNull() & ~F.col("container_id").rlike("-(full|loss)-")).groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("t"), F.sum("n_loss").alias("l"), F.count("*").alias("s"))
+    per_box = boxes.groupBy("spec_id").agg(F.bool_and((F.col("t") <= at(0)) & (F.col("s") <= at(1)) & (F.col("l") <= at(2))).alias("limits_kept"))
+    return per_text.join(per_box, "spec_id", "left").withColumn("limits_kept", F.coalesce("limits_kept", F.lit(True)))

