@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nebulith.functions import hydro as H
+from nebulith.operators import amr
 from nebulith.operators import amr_mesh as M
 from nebulith.operators import hydro_step as S
 from nebulith.operators import subgrid
@@ -120,3 +121,39 @@ def test_diffusion_over_leaf_faces(spark):
     spread = lambda t: t.agg(F.max(F.col("metals") / F.col("gas")) - F.min(F.col("metals") / F.col("gas"))).first()[0]
     assert spread(step) < spread(table)
     assert math.isclose(step.agg(F.sum("metals")).first()[0], table.agg(F.sum("metals")).first()[0], rel_tol=1e-12)
+
+
+STATE = "key long, patch_id long, t double, fingerprint long, generation long, d double"
+
+
+def ghosts(spark, start, end, patches, time):
+    frames = [spark.createDataFrame(r, STATE) for r in (start, end)]
+    return amr.temporal_ghosts(*frames, spark.createDataFrame(patches, "patch_id long, fingerprint long, generation long"), F.lit(time), ("d",)).collect()
+
+
+def test_temporal_ghosts_and_their_guards(spark):
+    start, end, now = [(1, 7, 0.0, 5, 2, 10.0), (3, 7, 0.0, 5, 2, 1.0)], [(1, 7, 2.0, 5, 2, 20.0), (4, 7, 2.0, 5, 2, 1.0)], [(7, 5, 2)]
+    for time, want in ((0.0, 10.0), (0.5, 12.5), (2.0, 20.0), (2.0 + 1e-13, 20.0)):
+        assert [(r["key"], r["d"]) for r in ghosts(spark, start, end, now, time)] == [(1, want)]
+    for time, s, e, p, word in ((2.1, start, end, now, "outside"), (0.5, start, end, [(7, 6, 2)], "stale"), (0.5, start, end, [(7, 5, 3)], "stale"), (0.5, start, [(1, 7, 2.0, 4, 2, 20.0)], now, "stale"), (0.5, start, end, [], "stale")):
+        with pytest.raises(Exception, match=word):
+            ghosts(spark, s, e, p, time)
+
+
+def test_production_refinement_needs_free_ids(spark):
+    cells = spark.createDataFrame([(i, float(i), 0.0, 0.0, 8.0, 1.0, 0) for i in range(1, 4)], "gas_cell_id long, cx double, cy double, cz double, mass double, width double, level int")
+    ids = lambda *v: spark.createDataFrame([(x,) for x in v], "id long")
+    out = amr.refine_production(cells, F.col("gas_cell_id") == 2, ids(*range(100, 110)), ("mass",)).collect()
+    assert sorted(r["gas_cell_id"] for r in out) == [1, 3, *range(100, 108)] and sum(r["mass"] for r in out) == 24.0
+    children = {r["key"]: r for r in out if r["key"] is not None}
+    assert sorted(children) == list(range(17, 25)) and all(r["parent_key"] == 2 and r["level"] == 1 for r in children.values())
+    for free in (ids(*range(100, 107)), ids(3, *range(100, 110))):
+        with pytest.raises(Exception, match="free ids"):
+            amr.refine_production(cells, F.col("gas_cell_id") == 2, free, ("mass",)).collect()
+
+
+def test_birth_plan_order(spark):
+    plan = spark.createDataFrame([(9,), (2,), (None,), (5,)], "gas_cell_id long")
+    assert sorted((r["place"], r["gas_cell_id"]) for r in subgrid.birth_order(plan).collect()) == [(0, 2), (1, 5), (2, 9)]
+    with pytest.raises(Exception, match="names twice"):
+        subgrid.birth_order(spark.createDataFrame([(9,), (2,), (9,)], "gas_cell_id long")).collect()
