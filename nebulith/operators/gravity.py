@@ -74,7 +74,7 @@ def tree_acceleration(targets: DataFrame, points: DataFrame, nodes: DataFrame, b
     with at most 8^4 cells are broadcast, so the walk has no join on few keys; a crowded group is cut in pieces.
     """
     scratch = Scratch(targets.sparkSession, "treewalk")
-    nodes = scratch.write(nodes)
+    nodes = scratch.write(nodes.select("level", "prefix", "mass", *[(F.col(f"s{c}") / F.col("mass")).alias(f"m{c}") for c in AXES], F.sqrt(sum((F.col(f"s{c}") / F.col("mass") - F.col(f"c{c}")) ** 2 for c in AXES)).alias("off"), "half", "eps_max", "is_leaf"))
     key = lambda: morton.interleave(*[F.least(F.floor(F.col(c) / box * 2**depth), F.lit(2**depth - 1)).cast("long") for c in AXES], depth)
     keyed = scratch.write(points.withColumn("prefix", key()))
     aimed = scratch.write(targets.withColumn("prefix", key()))
@@ -89,10 +89,10 @@ def tree_acceleration(targets: DataFrame, points: DataFrame, nodes: DataFrame, b
     for level in range(depth + 1):
         here = nodes.where(F.col("level") == level)
         here = front.join(F.broadcast(here) if level <= 4 else here, "prefix")  # at most 8^4 nodes
-        com = {c: F.col(f"s{c}") / F.col("mass") for c in AXES}
-        here = here.withColumns({"d": F.sqrt(sum((com[c] - F.col(f"g{c}")) ** 2 for c in AXES)) - F.col("reach"), "off": F.sqrt(sum((com[c] - F.col(f"c{c}")) ** 2 for c in AXES))})
-        here = scratch.write(here.withColumn("taken", accepts(policy, theta) & (F.col("d") > F.greatest("geps", "eps_max") + F.col("half") * math.sqrt(3.0))))
-        taken.append(here.where("taken").select("group", "mass", *[com[c].alias(f"m{c}") for c in AXES], F.col("eps_max").alias("eps")))
+        here = here.withColumn("d", F.sqrt(sum((F.col(f"m{c}") - F.col(f"g{c}")) ** 2 for c in AXES)) - F.col("reach"))
+        here = here.withColumn("taken", accepts(policy, theta) & (F.col("d") > F.greatest("geps", "eps_max") + F.col("half") * math.sqrt(3.0)))
+        here = scratch.write(here.select("group", *[f"g{c}" for c in AXES], "reach", "geps", "prefix", "taken", "is_leaf", *[F.when(F.col("taken"), F.col(c)).alias(c) for c in ("mass", *[f"m{c}" for c in AXES], "eps_max")]))
+        taken.append(here.where("taken").select("group", "mass", *[f"m{c}" for c in AXES], F.col("eps_max").alias("eps")))
         close.append(here.where("NOT taken AND is_leaf").select("group", F.col("prefix").alias("leaf"), F.lit(level).alias("level")))
         front = here.where("NOT taken AND NOT is_leaf").select("group", *[f"g{c}" for c in AXES], "reach", "geps", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("octant"), "prefix").select(
             "group", *[f"g{c}" for c in AXES], "reach", "geps", F.shiftleft("prefix", 3).bitwiseOR(F.col("octant").cast("long")).alias("prefix")
