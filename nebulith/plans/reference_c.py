@@ -90,16 +90,17 @@ def jn05w(t):
     return rounded(spatial.feedback_weights(_nearest(t), ["snap_step", "star"]).select("snap_step", "star", "cell", "weight"), weight=9)
 
 
-_PATCH = f"pt AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS patch, n_nationkey % 3 AS level, (n_nationkey * 17) % 90 + 0.0 AS ox, (n_nationkey * 29) % 90 + 0.0 AS oy, (n_nationkey * 41) % 90 + 0.0 AS oz, 30.0 / (1 + n_nationkey % 3) AS e FROM nation)"
+_PATCH = f"pt AS (SELECT patch_id AS patch, patch_id % 3 AS level, avg(cx) - 12.0 / (1 + patch_id % 3) AS ox, avg(cy) - 12.0 / (1 + patch_id % 3) AS oy, avg(cz) - 12.0 / (1 + patch_id % 3) AS oz, 24.0 / (1 + patch_id % 3) AS e FROM {CC} WHERE patch_id IS NOT NULL AND isfinite(cx) AND isfinite(cy) AND isfinite(cz) GROUP BY patch_id)"
 
 
 @query("jn06_point_in_patch", f"""WITH {_PATCH}, p AS (SELECT particle_id AS point, x - 100 * floor(x / 100) AS x, y - 100 * floor(y / 100) AS y, z - 100 * floor(z / 100) AS z FROM {CP} WHERE isfinite(x) AND isfinite(y) AND isfinite(z))
 SELECT point, CAST(arg_min(patch, (-level, patch)) AS BIGINT) AS patch, CAST(max(level) AS INT) AS level FROM p JOIN pt ON x >= ox AND x < ox + e AND y >= oy AND y < oy + e AND z >= oz AND z < oz + e GROUP BY point""")
 def jn06(t):
-    """The finest of 25 overlapping patches that contains each particle."""
-    k = F.col("n_nationkey")
-    side = 30.0 / (1 + k % 3)
-    patches = t.nation.select(k.cast("long").alias("patch"), (k % 3).alias("level"), ((k * 17) % 90 + 0.0).alias("ox"), ((k * 29) % 90 + 0.0).alias("oy"), ((k * 41) % 90 + 0.0).alias("oz"), side.alias("ex"), side.alias("ey"), side.alias("ez"))
+    """The finest of overlapping patches that contains each particle; a patch lies around its cells' mean place, smaller the higher its level."""
+    level = (F.col("patch_id") % 3).cast("int")
+    half = 12.0 / (1 + level)
+    c = t.current_cells.where(finite("cx", "cy", "cz") & F.col("patch_id").isNotNull()).groupBy("patch_id").agg(*[F.avg(f"c{c}").alias(f"m{c}") for c in "xyz"])
+    patches = c.select(F.col("patch_id").alias("patch"), level.alias("level"), *[(F.col(f"m{c}") - half).alias(f"o{c}") for c in "xyz"], *[(2 * half).alias(f"e{c}") for c in "xyz"])
     p = t.current_particles.where(finite("x", "y", "z"))
     points = p.select(F.col("particle_id").alias("point"), *[(F.col(c) - 100 * F.floor(F.col(c) / 100)).alias(c) for c in "xyz"])
     return spatial.points_in_patches(points, patches, BOX, 10.0)
