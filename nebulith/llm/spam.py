@@ -51,10 +51,9 @@ def expected_ratios(docs: DataFrame) -> dict[tuple[str, int], float]:
         for batch in batches:
             cells: dict[tuple[str, int, int], int] = {}
             for text, lang in zip(batch["text"], batch["lang"]):
-                for n, _, ratio, finished, _ in page_blocks(text)[1]:
-                    if finished:
-                        at = (lang, _size_class(n), int(ratio * BINS))
-                        cells[at] = cells.get(at, 0) + 1
+                for n, _, ratio, _, _ in page_blocks(text, sentences_only=True)[1]:
+                    at = (lang, _size_class(n), int(ratio * BINS))
+                    cells[at] = cells.get(at, 0) + 1
             yield pd.DataFrame([(*k, n) for k, n in cells.items()], columns=["lang", "size", "bin", "n"])
 
     parts = docs.where(F.length("text") > 0).select("text", language(F.col("lang")).alias("lang")).mapInPandas(measure, "lang string, size int, bin int, n long")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 #: Letters of other scripts that look like Latin ones (fixed values).
 LOOKALIKES = str.maketrans({"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ո": "n", "ν": "v", "ο": "o", "α": "a", "ι": "i", "ρ": "p", "κ": "k", "τ": "t"})
 _HIDDEN = re.compile("[​‌‍⁠﻿­]")
+_ODD = re.compile("[" + "".join(map(chr, LOOKALIKES)) + _HIDDEN.pattern[1:])
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>|\])\"']+", re.I)
 _MARKUP = re.compile(r"<a\s+href=|</a>|[<>\[\]()\"]", re.I)
 _SENTENCE_END = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
@@ -30,7 +31,9 @@ def fold(text: str) -> str:
     """Without hidden characters, compatibility forms and look-alike letters."""
     if text.isascii():
         return text
-    return _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).translate(LOOKALIKES)
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    return _HIDDEN.sub("", text).translate(LOOKALIKES) if _ODD.search(text) else text
 
 
 def is_data(line: str) -> bool:
@@ -53,18 +56,19 @@ def _cut(part: str) -> Iterator[str]:
         yield " ".join(words)
 
 
-def page_blocks(text: str) -> tuple[int, list[tuple[int, int, float, bool, float]]]:
+def page_blocks(text: str, sentences_only: bool = False) -> tuple[int, list[tuple[int, int, float, bool, float]]]:
     """(words in lines of data, blocks), a block being (bytes, words, compressed / raw, finished, share of digits).
 
     A block holds up to BLOCK_CHARS of successive sentences or, for itself, of successive text that ends without a full stop, question
     or exclamation mark after at least four words: its density of sentence ends is 0. Addresses are masked before compression,
     and digits in unfinished text, for they hide how alike the entries of a list are; numbers tell sentences of a report apart.
+    ``sentences_only`` leaves out unfinished blocks.
     """
     data, out, held, chars, kind = 0, [], [], 0, None
 
     def close() -> None:
         nonlocal held, chars
-        if held:
+        if held and (kind or not sentences_only):
             s = "\n".join(held)
             raw = s.lower().encode("utf-8", "replace")
             digits = 1 - len(raw.translate(None, b"0123456789")) / len(raw)
@@ -84,7 +88,9 @@ def page_blocks(text: str) -> tuple[int, list[tuple[int, int, float, bool, float
             if not part:
                 continue
             finished = bool(_ENDS.search(part)) and len(part.split()) >= 4
-            for piece in _cut(_URL.sub("u://", part)):
+            if "//" in part or "w." in part or "W." in part:
+                part = _URL.sub("u://", part)
+            for piece in _cut(part):
                 if finished != kind or chars + len(piece) > BLOCK_CHARS:
                     close()
                 kind = finished
