@@ -74,12 +74,13 @@ def test_all_pairs_without_the_sweep(spark, tmp_path, monkeypatch):
         raise AssertionError("the sweep was called")
 
     rng = random.Random(9)
-    p = [(i, i % 2, *[rng.uniform(-5, 105) for _ in "xyz"], 3, 1) for i in range(150)]
+    p = [(i, i // 7 % 2, *[rng.choice([0, 100]) + rng.uniform(-1.2, 1.2) for _ in "xyz"], i % 4, 1) for i in range(300)]
     spark.createDataFrame(p + p[:9], "particle_id long, snap_step long, x double, y double, z double, species_tag int, ingested_at int").write.parquet(f"{tmp_path}/particles.parquet")
     monkeypatch.setattr(sweep, "near_pairs", refuse)
     monkeypatch.setattr(reference_c, "near_pairs", refuse, raising=False)
     got = [t[:3] for t in rows(QUERIES["jn04_all_pairs"](spark, str(tmp_path)))]
-    want = sorted((s, i, j) for i, s, *a, _, _ in p for j, t, *b, _, _ in p if i < j and s == t and sum(min(d, 100 - d) ** 2 for d in (abs(u % 100 - v % 100) for u, v in zip(a, b))) <= 100)
+    near = lambda a, b: sum(min(d, 100 - d) ** 2 for d in (abs(u % 100 - v % 100) for u, v in zip(a, b))) <= 1
+    want = sorted((s, i, j) for i, s, *a, _, _ in p for j, t, *b, _, _ in p if i % 20 == 0 and i != j and s == t and near(a, b))
     assert got == want and want
 
 
