@@ -106,8 +106,8 @@ def tree_acceleration(targets: DataFrame, points: DataFrame, nodes: DataFrame, b
     heavy = heavy_values(groups, "group", counted="n_targets")
     pairs = salted_join(aimed, sources, "group", ["target"], heavy).where(F.col("item").isNull() | (F.col("item") != F.col("target")))
     d = {c: F.col(f"m{c}") - F.col(f"t{c}") for c in AXES}
-    pull = g * F.col("mass") * softened_inverse_cube(sum(d[c] * d[c] for c in AXES), F.greatest("teps", "eps"))
-    found = pairs.select("target", *[(pull * d[c]).alias(f"a{c}") for c in AXES], F.col("item").isNull().cast("int").alias("k"))
+    pairs = pairs.withColumn("r2", sum(d[c] * d[c] for c in AXES)).withColumn("pull", g * F.col("mass") * softened_inverse_cube(F.col("r2"), F.greatest("teps", "eps")))
+    found = pairs.select("target", *[(F.col("pull") * d[c]).alias(f"a{c}") for c in AXES], F.col("item").isNull().cast("int").alias("k"))
     return found.groupBy("target").agg(*[F.sum(f"a{c}").alias(f"a{c}") for c in AXES], F.sum("k").alias("n_nodes"), F.sum(1 - F.col("k")).alias("n_points"))
 
 
