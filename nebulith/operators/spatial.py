@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,10 @@ from nebulith.runtime import Scratch
 def nearest_cells(points: DataFrame, cells: DataFrame, k: int, box: float, step: str | None = None) -> DataFrame:
     """(star, cell, d2, rank): the k nearest cells of each point, not across box faces; ties by cell id.
 
-    Cells are bucketed on a grid fine enough for a few per bucket. Each point looks at rings of buckets that are widened, for
-    the points that need it, until the k-th distance lies within the searched shell, so the result is exact.
+    Cells are bucketed on a grid fine enough for a few per bucket. Each point looks at the buckets around its own. If its k-th distance
+    lies within the searched block it is done; if not, that distance bounds the search, and one more join takes all buckets it reaches. Points that found
+    fewer than k cells go on to buckets of twice the width, at last to one bucket that holds all, so the result is exact and no point is repeated
+    for more buckets than the ball of its k-th distance touches. The joins are never broadcasts: the planner doesn't see how often points are repeated.
     """
     scratch = Scratch(points.sparkSession, "nearest")
     keys = [step] if step else []
@@ -27,36 +30,49 @@ def nearest_cells(points: DataFrame, cells: DataFrame, k: int, box: float, step:
         return pts.select(*keys, "star").limit(0).withColumns({"cell": F.lit(0).cast("long"), "d2": F.lit(0.0), "rank": F.lit(0)})
     span = max(hi - lo, 1e-12)
     side = max(1, int((total / groups / max(k, 1)) ** (1 / 3)))  # about k cells per bucket, however many there are
-    width = span / side
-    bucket = lambda c: F.least(F.greatest(F.floor((F.col(c) - lo) / width), F.lit(0)), F.lit(side - 1)).cast("int")
-    held = src.select(*keys, F.col("cell"), "cx", "cy", "cz", bucket("cx").alias("bx"), bucket("cy").alias("by"), bucket("cz").alias("bz"))
-    todo, done, ring = pts, [], 1
-    w = Window.partitionBy(*keys, "star").orderBy("d2", "cell")
+    mine = [*keys, "star"]
+    todo, done = pts, []
     while True:
-        around = todo.withColumns({"px": bucket("x"), "py": bucket("y"), "pz": bucket("z")})
-        for c in "xyz":
-            around = around.withColumn(f"b{c}", F.explode(F.sequence(F.greatest(F.col(f"p{c}") - ring, F.lit(0)), F.least(F.col(f"p{c}") + ring, F.lit(side - 1)))))
-        d2 = sum((F.col(c) - F.col(f"c{c}")) ** 2 for c in "xyz")
-        pairs = around.join(held, [*keys, "bx", "by", "bz"]).select(*keys, "star", "x", "y", "z", "px", "py", "pz", "cell", d2.alias("d2"))
-        ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # cut to k in every task before the shuffle
+        width = span / side
+        bucket = lambda c: F.least(F.greatest(F.floor((F.col(c) - lo) / width), F.lit(0)), F.lit(side - 1)).cast("int")  # noqa: B023, E731
+        held = src.select(*keys, "cell", "cx", "cy", "cz", *[bucket(f"c{c}").alias(f"b{c}") for c in "xyz"])
+
+        def nearest(around: DataFrame, *more: str) -> DataFrame:
+            d2 = sum((F.col(c) - F.col(f"c{c}")) ** 2 for c in "xyz")
+            pairs = around.join(held.hint("merge"), [*keys, "bx", "by", "bz"]).select(*mine, *more, "cell", d2.alias("d2"))  # noqa: B023
+            return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*mine).orderBy("d2", "cell"))).where(F.col("rank") <= k)  # cut to k in every task before the shuffle
+
+        around = todo.withColumns({f"p{c}": bucket(c) for c in "xyz"})
         # distance from the point to the nearest face of the searched block, infinite on sides where the block reaches the edge
         gaps = []
         for c in "xyz":
-            gaps.append(F.when(F.col(f"p{c}") - ring <= 0, float("inf")).otherwise(F.col(c) - (lo + (F.col(f"p{c}") - ring) * width)))
-            gaps.append(F.when(F.col(f"p{c}") + ring >= side - 1, float("inf")).otherwise(lo + (F.col(f"p{c}") + ring + 1) * width - F.col(c)))
-        reach = F.least(*gaps)
-        mine = Window.partitionBy(*keys, "star")
-        found = ranked.withColumn("reach", reach).withColumns({"kth": F.max("d2").over(mine), "n": F.max("rank").over(mine)})
-        found = scratch.write(found.withColumn("enough", (F.col("kth") <= F.col("reach") ** 2) & (F.col("n") >= k) | (F.col("reach") == float("inf"))))
-        done.append(found.where("enough").select(*keys, "star", "cell", "d2", "rank"))
-        todo = scratch.write(todo.join(found.where("enough").select(*keys, "star").distinct(), [*keys, "star"], "left_anti"))
-        if ring >= side or todo.isEmpty():
+            gaps.append(F.when(F.col(f"p{c}") <= 1, float("inf")).otherwise(F.col(c) - (lo + (F.col(f"p{c}") - 1) * width)))
+            gaps.append(F.when(F.col(f"p{c}") >= side - 2, float("inf")).otherwise(lo + (F.col(f"p{c}") + 2) * width - F.col(c)))
+        around = around.withColumn("reach", F.least(*gaps))
+        for c in "xyz":
+            around = around.withColumn(f"b{c}", F.explode(F.sequence(F.greatest(F.col(f"p{c}") - 1, F.lit(0)), F.least(F.col(f"p{c}") + 1, F.lit(side - 1)))))
+        whole = Window.partitionBy(*mine)
+        found = nearest(around, "reach").withColumns({"kth": F.max("d2").over(whole), "n": F.max("rank").over(whole)})
+        found = scratch.write(found.withColumn("enough", (F.col("kth") < F.col("reach") ** 2) & (F.col("n") >= k) | (F.col("reach") == float("inf"))).drop("reach"))
+        done.append(found.where("enough").select(*mine, "cell", "d2", "rank"))
+        wide = scratch.write(todo.join(found.where(~F.col("enough") & (F.col("n") >= k) & (F.col("rank") == 1)).select(*mine, "kth"), mine))
+        if not wide.isEmpty():
+            # buckets within the k-th distance, axis by axis; rounding is covered by a little more of it
+            left = F.col("kth") * (1 + 1e-9) + 1e-12 * span**2
+            ball = wide.withColumn("left", left)
+            for c in "xyz":
+                at = lambda v: F.least(F.greatest(F.floor((v - lo) / width), F.lit(0)), F.lit(side - 1)).cast("int")  # noqa: B023, E731
+                ball = ball.withColumn(f"b{c}", F.explode(F.sequence(at(F.col(c) - F.sqrt("left")), at(F.col(c) + F.sqrt("left")))))
+                below, above = lo + F.col(f"b{c}") * width - F.col(c), F.col(c) - (lo + (F.col(f"b{c}") + 1) * width)
+                ball = ball.withColumn("left", F.col("left") - F.pow(F.greatest(below, above, F.lit(0.0)), F.lit(2.0))).where("left >= 0")
+            done.append(scratch.write(nearest(ball)))
+        if side == 1:
+            break
+        todo = scratch.write(todo.join(found.where((F.col("rank") == 1) & (F.col("enough") | (F.col("n") >= k))).select(*mine), mine, "left_anti"))
+        if todo.isEmpty():
             break
-        ring *= 2
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+        side //= 2
+    return reduce(DataFrame.unionByName, done)
 
 
 def feedback_weights(nearest: DataFrame, keys: list[str], floor: float = 1e-12) -> DataFrame:
