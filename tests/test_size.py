@@ -1,10 +1,15 @@
 """What failed on larger tables: plans and methods that only sizes beyond the test tables show."""
 
+import os
+
 import numpy as np
+import pytest
 
 from nebulith.operators import spatial
 from nebulith.runtime import Scratch
 
+DATA = "/root/testdata/sf0.001"
+
 
 def _clumped(spark, seed=3):
     """A dense clump of cells, a few lone ones, and points in, beside and far outside the clump; in step 2 hardly any cell."""
@@ -34,3 +39,19 @@ def test_nearest_cells_repeats_no_point_into_a_broadcast(spark, monkeypatch):
     out = spatial.nearest_cells(s, c, 4, 100.0, "snap_step").collect()
     assert sorted((r["star"], r["cell"], round(r["d2"], 9), r["rank"]) for r in out) == want
     assert not [p for p in plans if "BroadcastExchange" in p and "Generate explode" in p]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
+@pytest.mark.parametrize("name", ["jn05_feedback_weights"])
+def test_feedback_repeats_no_star_into_a_broadcast(spark, monkeypatch, name):
+    from nebulith.plans import registry
+
+    plans, write = [], Scratch.write
+
+    def noted(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df)
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    assert registry.queries()[name](spark, DATA).count()
+    assert not [p for p in plans if "BroadcastExchange" in p and "Generate explode" in p]
