@@ -42,7 +42,7 @@ def test_nearest_cells_repeats_no_point_into_a_broadcast(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
-@pytest.mark.parametrize("name", ["jn05_feedback_weights"])
+@pytest.mark.parametrize("name", ["jn05_feedback_weights", "ph09_feedback_deposit"])
 def test_feedback_repeats_no_star_into_a_broadcast(spark, monkeypatch, name):
     from nebulith.plans import registry
 
