@@ -4,7 +4,9 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from nebulith.operators import gravity as G
 from nebulith.operators import spatial
 from nebulith.runtime import Scratch
 
@@ -55,3 +57,36 @@ def test_feedback_repeats_no_star_into_a_broadcast(spark, monkeypatch, name):
     monkeypatch.setattr(Scratch, "write", noted)
     assert registry.queries()[name](spark, DATA).count()
     assert not [p for p in plans if "BroadcastExchange" in p and "Generate explode" in p]
+
+
+def _pull_table(spark, n=300, seed=5):
+    rng = np.random.default_rng(seed)
+    rows = [(i, *map(float, rng.uniform(0, 10, 3)), float(rng.uniform(0, 2)), float(rng.choice([0.0, 0.1, 0.5]))) for i in range(n)]
+    rows += [(n, *rows[0][1:5], 0.5), (n + 1, 1.0, 1.0, 1.0, 1.0, 0.0)]  # a softened point at another's place, an unsoftened one
+    return rows, spark.createDataFrame(rows, "item long, x double, y double, z double, mass double, eps double")
+
+
+def test_direct_sum_makes_no_row_per_pair(spark):
+    table, p = _pull_table(spark)
+    asked = p.where("item % 7 = 0 OR item > 298").select(F.col("item").alias("target"), "x", "y", "z", "eps")
+    df = G.direct_acceleration(asked, p, 2.0, 3)
+    got = {r["target"]: [r["ax"], r["ay"], r["az"]] for r in df.collect()}
+    assert sorted(got) == [i for i in range(302) if i % 7 == 0 or i > 298]
+    for i, a in got.items():
+        want = [0.0] * 3
+        for j, *q, m, e in table:
+            if j != i:
+                d = [u - v for u, v in zip(q, table[i][1:4])]
+                want = [w + 2 * m * c * (sum(v * v for v in d) + max(e, table[i][5]) ** 2) ** -1.5 for w, c in zip(want, d)]
+        assert np.allclose(a, want, rtol=1e-11, atol=1e-11)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_direct_sum_at_one_place_and_alone(spark):
+    """Without softening a pair at one place is no number, as in SQL; a point alone has no row."""
+    p = spark.createDataFrame([(1, 1.0, 1.0, 1.0, 1.0, 0.0), (2, 1.0, 1.0, 1.0, 1.0, 0.0), (3, 2.0, 1.0, 1.0, 1.0, 0.0)], "item long, x double, y double, z double, mass double, eps double")
+    asked = p.select(F.col("item").alias("target"), "x", "y", "z", "eps")
+    got = {r["target"]: r["ax"] for r in G.direct_acceleration(asked, p, 1.0, 2).collect()}
+    assert np.isnan(got[1]) and np.isnan(got[2]) and got[3] == -2.0
+    assert not G.direct_acceleration(asked, p.where("item = 1"), 1.0, 2).where("target = 1").collect()
