@@ -9,7 +9,7 @@ axis ("longitude"), and candidates are verified by their distance. Each pair has
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,14 @@ _COLUMNS = ("_pid", "_grp", "_strip", "_y", "_x", "_z", "_id", "_mark")
 
 
 def _pairs_of(y, x, z, ids, mark, fresh, radius: float, box: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Verified pairs of one sorted segment that have a fresh end and that this segment owns.
+    """The ids, smaller first, and squared distances of ``_places_of``."""
+    for a, b, square in _places_of(y, x, z, ids, mark, fresh, radius, box):
+        a, b = ids[a], ids[b]
+        yield np.minimum(a, b), np.maximum(a, b), square
+
+
+def _places_of(y, x, z, ids, mark, fresh, radius: float, box: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Verified pairs of one sorted segment, as places in it, that have a fresh end and that this segment owns.
 
     The owner of a pair is the only segment in which each of the three marks is borne by one of the two copies.
     """
@@ -82,12 +89,31 @@ def _pairs_of(y, x, z, ids, mark, fresh, radius: float, box: float) -> Iterator[
             square = d * d + e * e + g * g
             near = square <= radius * radius
             if near.any():
-                a, b = ids[a[near]], ids[b[near]]
-                yield np.minimum(a, b), np.maximum(a, b), square[near]
+                yield order[a[near]], order[b[near]], square[near]
+
+
+Pull = Callable[[np.ndarray, dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
+
+
+def _sums_of(rows: dict[str, np.ndarray], carried: tuple[str, ...], pull: Pull, radius: float, box: float) -> tuple[np.ndarray, np.ndarray]:
+    """(places, sums) of one sorted segment: for each point with a pair the sum over its pairs of ``pull`` times what the other end carries first times the way to it."""
+    n = len(rows["_y"])
+    sums, met = np.zeros((3, n)), np.zeros(n, bool)
+    weight = rows[carried[0]]
+    for a, b, square in _places_of(*(rows[c] for c in ("_y", "_x", "_z", "_id", "_mark", "fresh")), radius, box):
+        f = pull(square, *({c: rows[c][i] for c in carried} for i in (a, b)))
+        met[a] = met[b] = True
+        for k, c in enumerate(("_x", "_y", "_z")):
+            d = rows[c][b] - rows[c][a]
+            if c != "_y":  # images on the sweep axis are moved already
+                d = np.where(d > box / 2, d - box, np.where(d < -box / 2, d + box, d))
+            sums[k] += np.bincount(a, f * weight[b] * d, n) - np.bincount(b, f * weight[a] * d, n)
+    at = np.flatnonzero(met)
+    return at, sums[:, at]
 
 
-def _sweep(radius: float | dict[int, float], box: float):
-    """Streams sorted rows; what it holds is one batch and the active set, never a whole group."""
+def _sweep(radius: float | dict[int, float], box: float, carried: tuple[str, ...] = (), pull: Pull | None = None):
+    """Streams sorted rows; what it holds is one batch and the active set, never a whole group. With ``pull`` it gives sums per point, else the pairs."""
     of = radius.__getitem__ if isinstance(radius, dict) else lambda _: radius
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,13 +121,17 @@ def _sweep(radius: float | dict[int, float], box: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in _COLUMNS}
+            new = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (*_COLUMNS, *carried)}
             new["fresh"] = np.ones(batch.num_rows, bool)
             rows = {c: np.concatenate([active[c], v]) for c, v in new.items()} if active else new
             changed = sum(np.diff(rows[c]) != 0 for c in ("_pid", "_grp", "_strip")) > 0
             cut = np.flatnonzero(changed) + 1
             for s, t in zip([0, *cut], [*cut, len(rows["_y"])]):
-                if t - s > 1:
+                if t - s > 1 and pull:
+                    at, sums = _sums_of({c: v[s:t] for c, v in rows.items()}, carried, pull, of(int(rows["_grp"][s])), box)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(rows["_id"][s:t][at]), *map(pa.array, sums)], names=["id", "sx", "sy", "sz"])
+                elif t - s > 1:
                     for a, b, square in _pairs_of(*(rows[c][s:t] for c in ("_y", "_x", "_z", "_id", "_mark", "fresh")), of(int(rows["_grp"][s])), box):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), rows["_grp"][s])), pa.array(a), pa.array(b), pa.array(square)], names=["grp", "id_a", "id_b", "d2"])
             last = cut[-1] if len(cut) else 0
@@ -140,6 +170,20 @@ def near_pairs(points: DataFrame, ident: str, coords: tuple[str, str, str], grou
     outside the box are wrapped; a point without three finite coordinates, an id or a group has no pair; copies of a point
     count once; points at equal places are pairs; an empty table gives no row. Ids and groups are integers.
     """
+    return _swept(points, ident, coords, group, radius, box, partitions, strips)
+
+
+def near_sums(points: DataFrame, ident: str, coords: tuple[str, str, str], group: str, radius: float, box: float, carried: tuple[str, ...], pull: Pull) -> DataFrame:
+    """(id, sx, sy, sz): for each point with a near pair, the sum over its pairs of ``pull(d2, own, other)`` times the other's first ``carried`` column times the way to it.
+
+    Pairs are those of ``near_pairs``; they are summed where the sweep finds them, so no row per pair is written or shuffled. ``pull`` is symmetric, of arrays of squared
+    distances and of both ends' carried columns, which are numbers, not null.
+    """
+    partial = _swept(points, ident, coords, group, radius, box, None, None, carried, pull)
+    return partial.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("sx", "sy", "sz")])
+
+
+def _swept(points: DataFrame, ident: str, coords: tuple[str, str, str], group: str, radius: float | dict[int, float], box: float, partitions: int | None, strips: int | None, carried: tuple[str, ...] = (), pull: Pull | None = None) -> DataFrame:
     own = radius if isinstance(radius, dict) else {}
     if not all(0 < r < box / 4 for r in (own.values() if isinstance(radius, dict) else [radius])):
         raise ValueError("radius must be positive and under a quarter of the box")
@@ -168,7 +212,7 @@ def near_pairs(points: DataFrame, ident: str, coords: tuple[str, str, str], grou
     x, y, z = (wrap(F.col(c).cast("double"), box) for c in coords)
     strip = F.least(F.floor(F.col("_z") / width), cuts - 1).cast("int")
     placed = points.where(ok).select(
-        F.col(group).cast("long").alias("_grp"), F.col(ident).cast("long").alias("_id"), x.alias("_x"), y.alias("_y"), z.alias("_z")
+        F.col(group).cast("long").alias("_grp"), F.col(ident).cast("long").alias("_id"), x.alias("_x"), y.alias("_y"), z.alias("_z"), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(carried)]
     ).withColumn("_strip", strip)
     pieces = CUTS_PER_PARTITION * n
     rows = max(points.count(), 1)
@@ -181,11 +225,15 @@ def near_pairs(points: DataFrame, ident: str, coords: tuple[str, str, str], grou
     in_strips = F.when((F.col("_z") > (F.col("_strip") + 1) * width - reach) & (cuts > 1), F.array(here, above)).otherwise(F.array(here))
     there, moved = F.struct(F.col("_y").alias("yy"), F.lit(UNMOVED).alias("u")), F.struct((F.col("_y") + box).alias("yy"), F.lit(0).alias("u"))
     images = F.when(F.col("_y") <= reach, F.array(there, moved)).otherwise(F.array(there))
-    copies = placed.distinct().select("_grp", "_id", "_x", "_z", "_y", F.inline(in_strips)).select(
-        "_grp", "_id", "_x", "_z", F.col("s").alias("_strip"), "h", F.inline(images)
+    held = [f"_c{i}" for i in range(len(carried))]
+    copies = placed.distinct().select("_grp", "_id", "_x", "_z", "_y", *held, F.inline(in_strips)).select(
+        "_grp", "_id", "_x", "_z", *held, F.col("s").alias("_strip"), "h", F.inline(images)
     )
     spread = copies.withColumns({"_first": piece("_grp", "_strip", "yy"), "_end": piece("_grp", "_strip", F.col("yy") + reach)}).select(
-        "_grp", "_id", "_x", "_z", "_strip", F.col("yy").alias("_y"), "h", "u", "_first", F.explode(F.sequence("_first", "_end")).alias("_pid")
+        "_grp", "_id", "_x", "_z", *held, "_strip", F.col("yy").alias("_y"), "h", "u", "_first", F.explode(F.sequence("_first", "_end")).alias("_pid")
     )
-    marked = spread.select("_pid", "_grp", "_strip", "_y", "_x", "_z", "_id", (F.col("h") + F.col("u") + F.when(F.col("_pid") == F.col("_first"), OWN).otherwise(0)).alias("_mark"))
-    return marked.repartition(n, "_pid").sortWithinPartitions("_pid", "_grp", "_strip", "_y").mapInArrow(_sweep(radius, box), "grp long, id_a long, id_b long, d2 double")
+    marked = spread.select("_pid", "_grp", "_strip", "_y", "_x", "_z", "_id", (F.col("h") + F.col("u") + F.when(F.col("_pid") == F.col("_first"), OWN).otherwise(0)).alias("_mark"), *held)
+    ordered = marked.repartition(n, "_pid").sortWithinPartitions("_pid", "_grp", "_strip", "_y")
+    if pull:
+        return ordered.mapInArrow(_sweep(radius, box, tuple(held), pull), "id long, sx double, sy double, sz double")
+    return ordered.mapInArrow(_sweep(radius, box), "grp long, id_a long, id_b long, d2 double")

@@ -1,5 +1,6 @@
 """What failed on larger tables: plans and methods that only sizes beyond the test tables show."""
 
+import math
 import os
 
 import numpy as np
@@ -90,3 +91,38 @@ def test_direct_sum_at_one_place_and_alone(spark):
     got = {r["target"]: r["ax"] for r in G.direct_acceleration(asked, p, 1.0, 2).collect()}
     assert np.isnan(got[1]) and np.isnan(got[2]) and got[3] == -2.0
     assert not G.direct_acceleration(asked, p.where("item = 1"), 1.0, 2).where("target = 1").collect()
+
+
+def test_short_range_sums_where_the_sweep_finds_pairs(spark):
+    rng = np.random.default_rng(11)
+    at = np.concatenate([rng.uniform(0, 20, (150, 3)), rng.normal(0, 0.7, (60, 3)) % 20.0])
+    group, mass, eps = rng.integers(1, 3, 210), rng.uniform(0, 1, 210), rng.choice([0.1, 0.5], 210)
+    p = spark.createDataFrame([(i, int(group[i]), *map(float, at[i]), float(mass[i]), float(eps[i])) for i in range(210)], "item long, snap_step long, x double, y double, z double, mass double, eps double")
+    df = G.short_range_acceleration(p, 20.0, 2.0, 0.6, 2.0, "snap_step")
+    got = {r["item"]: [r["ax"], r["ay"], r["az"]] for r in df.collect()}
+    want = {}
+    for i in range(210):
+        d = at - at[i]
+        d -= 20.0 * np.round(d / 20.0)
+        d2 = (d**2).sum(1)
+        for j in np.flatnonzero((group == group[i]) & (d2 <= 4.0) & (np.arange(210) != i)):
+            q = math.sqrt(d2[j]) / 1.2
+            f = 2.0 * mass[j] * (d2[j] + max(eps[i], eps[j]) ** 2) ** -1.5 * (math.erfc(q) + 2 * q / math.sqrt(math.pi) * math.exp(-q * q))
+            want[i] = want.get(i, 0) + f * d[j]
+    assert sorted(got) == sorted(want) and all(np.allclose(got[i], want[i], rtol=1e-9, atol=1e-11) for i in want)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mesh_values_are_gathered_with_one_row_per_point(spark):
+    rng = np.random.default_rng(2)
+    at, mesh = rng.uniform(-5, 15, (200, 3)), rng.normal(0, 1, (4, 4, 4))
+    p = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(at)], "item long, x double, y double, z double")
+    m = spark.createDataFrame([(i, j, k, float(mesh[i, j, k])) for i in range(4) for j in range(4) for k in range(4)], "ix int, iy int, iz int, fx double")
+    df = G.interpolate_mesh(p, m, 4, 10.0, ("fx",))
+    got = dict(map(tuple, df.collect()))
+    for i, q in enumerate((at / 10 - np.floor(at / 10)) * 4):
+        lo, f = np.floor(q).astype(int), q - np.floor(q)
+        want = sum(mesh[tuple((lo + o) % 4)] * np.prod(np.where(o, f, 1 - f)) for o in np.array(np.meshgrid([0, 1], [0, 1], [0, 1])).reshape(3, 8).T)
+        assert abs(got[i] - want) < 1e-12
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [item" not in plan and len(got) == 200
