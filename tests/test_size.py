@@ -126,3 +126,11 @@ def test_mesh_values_are_gathered_with_one_row_per_point(spark):
         assert abs(got[i] - want) < 1e-12
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [item" not in plan and len(got) == 200
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
+def test_direct_query_joins_no_pairs(spark):
+    from nebulith.plans import registry
+
+    plan = registry.queries()["gr03_direct_acceleration"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "Join" not in plan
