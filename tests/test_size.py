@@ -134,3 +134,39 @@ def test_direct_query_joins_no_pairs(spark):
 
     plan = registry.queries()["gr03_direct_acceleration"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "CoGroups" in plan and "Join" not in plan
+
+
+def _crowd(spark, n=900, seed=4):
+    rng = np.random.default_rng(seed)
+    at = np.concatenate([rng.uniform(0, 10, (n, 3)), rng.normal(3, 0.15, (n // 2, 3)), np.full((30, 3), 7.0), [[0.0, 0, 0], [10, 10, 10]]])
+    rows = [(i, *map(float, q), float(rng.uniform(0.1, 2)), float(rng.choice([0.02, 0.1, 0.4]))) for i, q in enumerate(at)]
+    return spark.createDataFrame(rows, "item long, x double, y double, z double, mass double, eps double")
+
+
+@pytest.mark.parametrize(("policy", "block"), [("geometric", 100), ("geometric", 10**6), ("com", 300)])
+def test_tree_walk_of_blocks_is_the_walk_of_rows(spark, policy, block):
+    from nebulith.operators.tree_walk import tree_walk
+
+    p = Scratch(spark, "crowd").write(_crowd(spark))
+    asked = p.where("item % 3 <> 1").select(F.col("item").alias("target"), "x", "y", "z", "eps")
+    df = tree_walk(asked, p, 10.0, 6, 2.0, 0.6, policy, block=block, crowd=10**6)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r["target"]: tuple(r)[1:] for r in df.collect()}
+    want = {r["target"]: tuple(r)[1:] for r in G.tree_acceleration(asked, p, G.tree_nodes(p, 6, 10.0), 10.0, 6, 2.0, 0.6, policy).collect()}
+    assert sorted(got) == sorted(want) and max(w[3] for w in want.values()) > 0
+    same = [got[i][3:] == w[3:] and np.allclose(got[i][:3], w[:3], rtol=1e-9, atol=1e-9) for i, w in want.items()]
+    assert all(same) if block == 10**6 else sum(same) > len(same) / 2  # blocks smaller than groups cut the groups
+
+
+def test_tree_walk_of_crowded_groups(spark):
+    """Groups are cut where targets crowd: fewer points are met, and forces are those of the direct sum."""
+    from nebulith.operators.tree_walk import tree_walk
+
+    p = Scratch(spark, "crowd").write(_crowd(spark))
+    asked = p.select(F.col("item").alias("target"), "x", "y", "z", "eps")
+    got, whole, direct = ({r["target"]: tuple(r)[1:] for r in df.collect()} for df in (
+        tree_walk(asked, p, 10.0, 6, 2.0, 0.4, block=200), tree_walk(asked, p, 10.0, 6, 2.0, 0.4, block=200, crowd=10**6), G.direct_acceleration(asked, p, 2.0, 4)))
+    assert sorted(got) == sorted(direct)
+    assert sum(r[4] for r in got.values()) < sum(r[4] for r in whole.values())
+    off, size = (np.sqrt(np.mean(np.square([np.subtract(u[i][:3], v) if u else v for i, v in direct.items()]))) for u in (got, None))
+    assert off < 0.01 * size
