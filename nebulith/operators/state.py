@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nebulith.operators.base import count_if
@@ -85,9 +85,8 @@ def commit_migration(current: DataFrame, outbound: DataFrame, inbound: DataFrame
     if epoch is not None and "ghost_epoch" in current.columns:
         kept = kept.where(F.col("ghost_epoch").isNull() | (F.col("ghost_epoch") == epoch))
     kept = kept.join(outbound.select(key), key, "left_anti").withColumn("_order", F.lit(0))
-    final = kept.unionByName(inbound.withColumn("_order", F.lit(1)))
-    counts = final.groupBy(key).agg(F.count("*").alias("_n"))
-    checked = final.join(counts, key)
+    final = kept.unionByName(inbound.withColumn("_order", F.lit(1))).where(F.col(key).isNotNull())
+    checked = final.withColumn("_n", F.count("*").over(Window.partitionBy(key)))  # in one pass: a second reading may keep other ones of unequal copies
     fail = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate id after migration: "), F.col(key).cast("string"))).cast("long"))
     return checked.withColumn("_order", F.coalesce(fail, F.col("_order").cast("long"))).drop("_n")
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nebulith.operators import gravity as G
-from nebulith.operators import spatial
+from nebulith.operators import spatial, state
 from nebulith.runtime import Scratch
 
 DATA = "/root/testdata/sf0.001"
@@ -170,3 +170,24 @@ def test_tree_walk_of_crowded_groups(spark):
     assert sum(r[4] for r in got.values()) < sum(r[4] for r in whole.values())
     off, size = (np.sqrt(np.mean(np.square([np.subtract(u[i][:3], v) if u else v for i, v in direct.items()]))) for u in (got, None))
     assert off < 0.01 * size
+
+
+def test_migration_reads_its_rows_once(spark):
+    """Rows that another reading would give otherwise, as of unequal copies of one id, are neither lost nor doubled."""
+    import pandas as pd
+
+    ids = F.pandas_udf(lambda s: pd.Series(np.random.default_rng().integers(0, 2**60, len(s))), "long").asNondeterministic()
+    now = spark.range(200).select(ids("id").alias("key"), F.lit(1).alias("n"))
+    none = spark.createDataFrame([], "key long, n int")
+    assert state.commit_migration(now, none, none, "key").count() == 200
+    twice = spark.createDataFrame([(7, 1), (7, 2)], "key long, n int")
+    with pytest.raises(Exception, match="duplicate id after migration: 7"):
+        state.commit_migration(none, none, twice, "key").collect()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
+def test_patch_migration_counts_cells_once(spark):
+    from nebulith.plans import registry
+
+    plan = registry.queries()["se04_patch_migration"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "cells.parquet" not in plan and plan.count("HashAggregate") == 0
