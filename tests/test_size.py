@@ -84,6 +84,34 @@ def test_direct_sum_makes_no_row_per_pair(spark):
     assert "CoGroups" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
 
 
+def test_direct_sum_takes_the_softenings_of_a_tile_once(monkeypatch):
+    """The larger softenings aren't taken pair by pair, and the sums are right across edges of tiles, where softenings change and where all differ."""
+    rng = np.random.default_rng(8)
+    n, m = 700, 61
+    source = {c: rng.uniform(0, 10, n) for c in "xyz"} | {"item": rng.permutation(n), "mass": rng.uniform(0, 1, n), "eps": rng.choice([0.02, 0.1, 0.5], n)}
+    asked = rng.choice(n, m, replace=False)
+    target = {c: source[c][asked] for c in (*"xyz", "item", "eps")}
+    made, maximum = [], np.maximum
+
+    def noted(*a, **k):
+        found = maximum(*a, **k)
+        made.append(np.size(found))
+        return found
+
+    def right():
+        for i, k in enumerate(asked):
+            d = np.stack([source[c] - source[c][k] for c in "xyz"])
+            w = 2.0 * source["mass"] * ((d**2).sum(0) + maximum(source["eps"], target["eps"][i]) ** 2) ** -1.5
+            yield (np.delete(w, k) * np.delete(d, k, 1)).sum(1)
+
+    monkeypatch.setattr(G, "TILE", (8, 256))
+    monkeypatch.setattr(np, "maximum", noted)
+    assert np.allclose(G.pulls(target, source, 2.0), list(right()), rtol=1e-11, atol=1e-11)
+    assert sum(made) < n * m / 2
+    target["eps"] = rng.uniform(0, 1, m)
+    assert np.allclose(G.pulls(target, source, 2.0), list(right()), rtol=1e-11, atol=1e-11)
+
+
 def test_direct_sum_at_one_place_and_alone(spark):
     """Without softening a pair at one place is no number, as in SQL; a point alone has no row."""
     p = spark.createDataFrame([(1, 1.0, 1.0, 1.0, 1.0, 0.0), (2, 1.0, 1.0, 1.0, 1.0, 0.0), (3, 2.0, 1.0, 1.0, 1.0, 0.0)], "item long, x double, y double, z double, mass double, eps double")
